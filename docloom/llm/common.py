@@ -107,3 +107,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+
+
+def map_texts(df: DataFrame, make, fields: str, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """df, with or without its text column, and new columns that Python makes from the texts.
+
+    make() is called once in each task and gives a function from an Arrow array of texts to a list of Arrow arrays,
+    one for each of fields (a DDL string). Other columns pass through untouched, whatever their names and types.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    at = df.columns.index(text_col)
+    kept = [k for k in range(len(df.columns)) if keep_text or k != at]
+    schema = StructType([df.schema.fields[k] for k in kept] + StructType.fromDDL(fields).fields)
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], *work(batch.column(at))], schema.names)
+
+    return df.mapInArrow(run, schema)

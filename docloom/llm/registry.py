@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.llm import langid, mixing, quality, tokens
+from docloom.llm import decontam, langid, mixing, quality, tokens
 
-_MODULES = [mixing, quality, langid, tokens]
+_MODULES = [mixing, decontam, quality, langid, tokens]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}
