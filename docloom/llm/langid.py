@@ -8,7 +8,7 @@ a whole text is scored by adding table entries. The language with the shortest t
 smaller name.
 
 The fit uses a bounded sample: per language SAMPLE_DOCS labelled documents (those with the smallest hash of doc_id)
-of at most SAMPLE_BYTES each, and MAX_CONTEXTS contexts of order 3. Scoring covers every byte of every text. Texts that are
+of at most SAMPLE_BYTES each that have a doc_id, and MAX_CONTEXTS contexts of order 3. Scoring covers every byte of every text. Texts that are
 null or have no letter get `und` with score 0; without any learned language so does everything.
 """
 
@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.llm.bytes_util import pieces, sums
+from docloom.llm.common import lookup_join, map_texts, stored
 
-SAMPLE_DOCS, SAMPLE_BYTES, MAX_CONTEXTS = 1500, 1 << 16, 40_000
+SAMPLE_DOCS, SAMPLE_BYTES, MAX_CONTEXTS = 1000, 1 << 16, 40_000
 #: Bytes of text that count as full evidence for a score near 1.
 EVIDENCE = 48
 UNKNOWN = "und"
@@ -112,10 +112,11 @@ def fold(id_col: str, folds: int):
 
 def train(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> PpmModel | None:
     """Context trees of the labelled rows for which usable holds; None if there are none."""
-    sampled = docs.where(usable & F.col(lang_col).isNotNull() & (F.length(text_col) > 0) & (F.octet_length(text_col) <= SAMPLE_BYTES))
+    named = docs.where(usable & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0) & (F.octet_length(text_col) <= SAMPLE_BYTES))
+    named = named.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "tie")
-    slim = sampled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
-    slim = slim.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS)
+    chosen = named.drop("text").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS).drop("k").distinct()
+    slim = lookup_join(named, stored(chosen), ["id", "lang", "tie"], F.col("tie"))
 
     def tally(batches):
         for batch in batches:
@@ -134,30 +135,30 @@ def train(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text
     return build_model({k: (g["gram"].to_numpy(), g["n"].to_numpy()) for k, g in found.sort_values(["lang", "gram"]).groupby("lang")})
 
 
-def identify(df: DataFrame, model: PpmModel | None, text_col: str = "text") -> DataFrame:
+def identify(df: DataFrame, model: PpmModel | None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """df with lang_pred, score (how far the best language is ahead, 0 to 1) and bits_per_byte (its code length)."""
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(model)
-    at = df.columns.index(text_col)
 
-    def run(batches):
+    def make():
         letter, m = re.compile(r"[^\W\d_]").search, shared.value
-        for batch in batches:
-            texts = batch.column(at)
-            named = np.array([bool(m and t and letter(t)) for t in texts.to_pylist()], bool)
-            total = np.zeros((batch.num_rows, len(m.languages) if m else 1))
+
+        def run(texts):
+            plain = [t or "" for t in texts.to_pylist()]
+            named = np.array([bool(m and letter(t)) for t in plain], bool)
+            total = np.zeros((len(plain), len(m.languages) if m else 1))
             if m:
                 for data, rows, starts, ends in pieces(texts):
                     np.add.at(total, rows, sums(m.score(data), starts - 3, ends - 3))
-            n_bytes = np.array([len((t or "").encode()) for t in texts.to_pylist()])
-            best = total.argmin(axis=1)
-            ahead = (total - total.min(axis=1, keepdims=True)) * np.minimum(1, EVIDENCE / np.maximum(n_bytes, 1))[:, None]
+            n_bytes = np.maximum([len(t.encode()) for t in plain], 1)
+            best, least = total.argmin(axis=1), total.min(axis=1)
+            ahead = (total - least[:, None]) * np.minimum(1, EVIDENCE / n_bytes)[:, None]
             score = np.where(named, 1 / np.exp2(-ahead).sum(axis=1), 0.0)
             pred = [m.languages[k] if ok else UNKNOWN for k, ok in zip(best, named)]
-            bits = total.min(axis=1) / np.maximum(n_bytes, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(bits)], schema.names)
+            return [pa.array(pred, pa.string()), pa.array(score), pa.array(least / n_bytes)]
+
+        return run
 
-    return df.mapInArrow(run, schema)
+    return map_texts(df, make, "lang_pred string, score double, bits_per_byte double", text_col, keep_text)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +166,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, fold("doc_id", 4) != 2)
     held = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "text")
-    return identify(held, model).drop("text")
+    return identify(held, model, keep_text=False)
 
 
 QUERIES = {"op9_language_id": op9_language_id}
