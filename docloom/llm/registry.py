@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontam, html_text, jaccard, langid, mixing, quality, search, tokens
+from docloom.llm import decontam, html_text, jaccard, langid, lm, mixing, quality, search, tokens
 
-_MODULES = [mixing, decontam, quality, search, html_text, jaccard, langid, tokens]
+_MODULES = [mixing, decontam, quality, search, html_text, jaccard, lm, langid, tokens]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}
