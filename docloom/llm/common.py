@@ -128,3 +128,55 @@ def map_texts(df: DataFrame, make, fields: str, text_col: str = "text", keep_tex
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], *work(batch.column(at))], schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+#: Bits of an id filter; 16 MB, whatever the number of ids.
+FILTER_BITS = 27
+
+
+def filter_places(ids):
+    """Bit of each id (an array of 64-bit integers) in an id filter."""
+    import numpy as np
+
+    x = np.asarray(ids).astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame):
+    """A broadcast bit set that holds every id of a table (id long) and few others: rows that it refuses need not be moved.
+
+    It has a fixed size. The more ids, the more others pass, so an exact join must follow.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    page = 1 << 12
+
+    def set_bits(batches):
+        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        for batch in batches:
+            at = filter_places(batch.column(0).to_numpy())
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        pages = bits.reshape(-1, page)
+        used = np.flatnonzero(pages.any(axis=1))
+        for lo in range(0, len(used), 1024):
+            some = used[lo : lo + 1024]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([pages[k].tobytes() for k in some], pa.binary())], ["page", "bits"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        bits = np.zeros(page, np.uint8)
+        for x in table.column("bits"):
+            bits |= np.frombuffer(x.as_buffer(), np.uint8)
+        return pa.table({"page": table.column("page").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    rows = ids.mapInArrow(set_bits, "page int, bits binary").groupBy("page").applyInArrow(merge, "page int, bits binary").collect()
+    bits = np.zeros((1 << (FILTER_BITS - 3)) // page * page, np.uint8).reshape(-1, page)
+    for r in rows:
+        bits[r["page"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+
+def passes(bits, ids):
+    """Which ids an id filter lets through."""
+    at = filter_places(ids)
+    return (bits[at >> 3] >> (at & 7).astype("uint8")) & 1 == 1

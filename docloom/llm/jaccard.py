@@ -8,9 +8,10 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
    only a matter of speed, so a bounded list of those seen repeatedly in one task serves.
 3. Leaders: in every bucket of a prefix shingle and a band of sizes, all members are compared with the smallest one. Links partition
    the classes into groups of similar documents, however large, with a number of comparisons that is linear in the bucket.
-4. Token-group matrix: each group, in chunks of about CHUNK members, stores the union of its members' prefixes as (token, group) rows. A
-   class meets the groups of other components there; the number of its tokens in a group's union bounds its overlap with any
-   member, and only groups that reach the bound are opened: their members are compared with the class one by one.
+4. Token-group matrix: each group, in chunks of about CHUNK members, stores the union of its members' prefixes, as (token, group) rows
+   too. A class meets the groups of other components there, at a token that leaves room for all the others they need; the number of its
+   tokens in a group's union then bounds its overlap with any member, and only groups that reach the bound are opened: their
+   members are compared with the class one by one.
 
 Pairs inside a component found by leaders need no comparison, since component_id can't change by them. A comparison first bounds the overlap
 by the two prefixes, then intersects the whole sets.
@@ -26,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import connected_components, drop_stored, lookup_join, stored
+from docloom.llm.common import conf, connected_components, drop_stored, id_filter, passes, stored
 from docloom.llm.words import mix, shingle_sets
 
 #: Shingles at most that the global order puts last, members of a group's chunk.
 COMMON, CHUNK = 200_000, 64
+#: Documents whose shingles a Python worker holds at once.
+BATCH_DOCS = 2000
 
 
 def _survey(width: int):
@@ -47,7 +50,7 @@ def _survey(width: int):
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names)
             kept.append(np.concatenate(sets) if sets else np.zeros(0, np.uint64))
             held += len(kept[-1])
-            if held > 1 << 23:
+            if held > 1 << 22:
                 yield from repeated(kept, names)
                 kept, held = [], 0
         if kept:
@@ -111,13 +114,16 @@ class JaccardJoin:
         ids = stored(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         width, num, den = self.width, self.num, self.den
 
+        wanted = id_filter(ids)
+
         def sets(batches):
             for batch in batches:
+                batch = batch.filter(pa.array(passes(wanted.value, batch.column(0).to_numpy())))
                 found = shingle_sets(batch.column(1).to_pylist(), width)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "tokens"])
 
-        texts = lookup_join(self.docs, ids, ["doc_id"], F.xxhash64("doc_id"))
-        table = stored(texts.mapInArrow(sets, "rep long, tokens binary"))
+        made = self.docs.where("doc_id is not null").mapInArrow(sets, "rep long, tokens binary")
+        table = stored(made.join(ids.select(F.col("doc_id").alias("rep")).hint("shuffle_merge"), "rep").dropDuplicates(["rep"]))
 
         def check(batches):
             for batch in batches:
@@ -137,6 +143,10 @@ class JaccardJoin:
 
     def link(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every document."""
+        with conf(self.docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_DOCS)):
+            return self._link()
+
+    def _link(self) -> DataFrame:
         spark = self.docs.sparkSession
         survey = stored(self.docs.mapInArrow(_survey(self.width), "kind int, doc_id long, n long, a long, b long"))
         per_doc = survey.where("kind = 0").drop("kind")
@@ -171,19 +181,24 @@ class JaccardJoin:
         sized = named.join(big.hint("shuffle_merge"), "component", "left").withColumn("size", F.coalesce("size", F.lit(1)))
         chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / CHUNK)).cast("int")
         members = stored(sized.withColumn("chunk", chunk).select("rep", "n", "prefix", "component", "size", "chunk"))
-        rows = members.select("rep", "n", "component", "size", "chunk", F.explode("prefix").alias("token"))
+        # The first shared shingle of a linked pair has all the others it needs after it in both prefixes: its slack.
+        rows = members.select("rep", "n", "component", "size", "chunk", F.size("prefix").alias("p"), F.posexplode("prefix").alias("pos", "token"))
+        rows = rows.withColumn("slack", F.col("p") - F.col("pos")).drop("p", "pos")
         open_tokens = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
         rows = stored(rows.join(open_tokens.hint("shuffle_merge"), "token"))
-        matrix = rows.groupBy("token", F.col("component").alias("g"), F.col("chunk").alias("gc"), F.col("size").alias("gs")).agg(F.lit(1).alias("one"))
         spans = members.groupBy(F.col("component").alias("g"), F.col("chunk").alias("gc")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-        matrix = matrix.drop("one").join(spans.hint("shuffle_merge"), ["g", "gc"])
-        asked = rows.select("token", "rep", "n", "component", "size").join(matrix.hint("shuffle_merge"), "token")
-        asked = asked.where("component <> g and struct(size, component) < struct(gs, g)")
-        asked = asked.where(f"{self.num} * lo <= {self.den} * n and {self.num} * n <= {self.den} * hi")
-        met = asked.groupBy("rep", "n", "g", "gc", "lo", "hi").agg(F.count("*").alias("shared"))
+        matrix = rows.groupBy("token", F.col("component").alias("g"), F.col("chunk").alias("gc"), F.col("size").alias("gs")).agg(F.max("slack").alias("room"))
+        matrix = matrix.join(spans.hint("shuffle_merge"), ["g", "gc"])
         low = f"greatest(lo, ({self.num} * n + {self.den - 1}) div {self.den})"
         high = f"least(hi, ({self.den} * n) div {self.num})"
-        opened = met.where(f"shared >= least({self.need('n', low)}, {self.need('n', high)})").select("rep", "g", "gc")
+        least = f"least({self.need('n', low)}, {self.need('n', high)})"
+        asked = rows.select("token", "rep", "n", "slack", "component", "size").join(matrix.hint("shuffle_merge"), "token")
+        asked = asked.where("component <> g and struct(size, component) < struct(gs, g)")
+        asked = asked.where(f"{self.num} * lo <= {self.den} * n and {self.num} * n <= {self.den} * hi and least(slack, room) >= {least}")
+        met = asked.select("rep", "g", "gc").distinct()
+        unions = members.groupBy(F.col("component").alias("g"), F.col("chunk").alias("gc")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("union"))
+        met = met.join(unions.hint("shuffle_merge"), ["g", "gc"]).join(prefixes.hint("shuffle_merge"), "rep")
+        opened = met.where(f"size(array_intersect(prefix, union)) >= {least}").select("rep", "g", "gc")
         inside = members.select(F.col("rep").alias("b"), F.col("component").alias("g"), F.col("chunk").alias("gc"))
         more = opened.join(inside.hint("shuffle_merge"), ["g", "gc"]).select(F.col("rep").alias("a"), "b").distinct()
         late = self.compare(more, prefixes)
