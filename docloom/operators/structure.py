@@ -77,7 +77,11 @@ def lot_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def markdown_table(headers: list[str], rows: Column) -> Column:
     """Rows (arrays of text) as a Markdown table with padded columns."""
     n = len(headers)
-    sizes = [F.greatest(F.lit(len(h)), F.coalesce(F.array_max(F.transform(rows, lambda r, k=k: F.length(F.coalesce(F.get(r, F.lit(k)), F.lit(""))))), F.lit(0))) for k, h in enumerate(headers)]
+
+    def longest(k: int) -> Column:
+        return F.coalesce(F.array_max(F.transform(rows, lambda r: F.length(F.coalesce(F.get(r, F.lit(k)), F.lit(""))))), F.lit(0))
+
+    sizes = [F.greatest(F.lit(len(h)), longest(k)) for k, h in enumerate(headers)]
 
     def line(cells):
         return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.rpad(c, s, " ") for c, s in zip(cells, sizes)]), F.lit(" |"))
