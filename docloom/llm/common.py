@@ -113,14 +113,14 @@ def map_texts(df: DataFrame, make, fields: str, text_col: str = "text", keep_tex
     """df, with or without its text column, and new columns that Python makes from the texts.
 
     make() is called once in each task and gives a function from an Arrow array of texts to a list of Arrow arrays,
-    one for each of fields (a DDL string). Other columns pass through untouched, whatever their names and types.
+    one for each of fields (a DDL string). Other columns pass through untouched; those named like a new one give way to it.
     """
     import pyarrow as pa
     from pyspark.sql.types import StructType
 
-    at = df.columns.index(text_col)
-    kept = [k for k in range(len(df.columns)) if keep_text or k != at]
-    schema = StructType([df.schema.fields[k] for k in kept] + StructType.fromDDL(fields).fields)
+    at, new = df.columns.index(text_col), StructType.fromDDL(fields)
+    kept = [k for k, name in enumerate(df.columns) if (keep_text or k != at) and name not in new.names]
+    schema = StructType([df.schema.fields[k] for k in kept] + new.fields)
 
     def run(batches):
         work = make()

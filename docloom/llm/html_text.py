@@ -238,7 +238,7 @@ def _texts(df: DataFrame) -> DataFrame:
 
     names = df.columns
     html_at, gone_at = names.index("html"), names.index("__gone")
-    kept = [k for k in range(len(names)) if k not in (html_at, gone_at)]
+    kept = [k for k, name in enumerate(names) if k not in (html_at, gone_at) and name not in ("text", "n_chars")]
     schema = StructType([df.schema.fields[k] for k in kept] + StructType.fromDDL("text string, n_chars bigint").fields)
 
     def run(batches):

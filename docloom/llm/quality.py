@@ -62,9 +62,10 @@ FEATURES = ["upper_share", "symbols_share", "loud_share", "points_share", "digit
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without its text, with the statistics in FEATURES."""
+    """docs without its text, with the statistics in FEATURES; columns named like one of them or like a count give way."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = [c for c in docs.columns if c != text_col]
+    made = [*statistics(text), *ratios()]
+    kept = [c for c in docs.columns if c != text_col and c not in made]
     counted = docs.select(*kept, *[c.alias(k) for k, c in statistics(text).items()])
     return counted.select(*kept, *[c.alias(k) for k, c in ratios().items()])
 
@@ -117,10 +118,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, usable: Column, label_col:
     """docs(doc_id, text, ...) -> the same rows without text, with statistics, score and the number of rules."""
     table = stored(with_statistics(docs))
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & usable)
-    marked = marked.groupBy("doc_id").agg(F.max(label_col).cast("double").alias("label"))
+    marked = marked.groupBy("doc_id").agg(F.max(label_col).cast("double").alias("__label"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     # At most SAMPLE_ROWS rows of 16 bytes, so the broadcast is bounded by that parameter.
-    sample = stored(table.join(F.broadcast(marked), "doc_id").select(*FEATURES, "label").coalesce(8))
+    sample = stored(table.join(F.broadcast(marked), "doc_id").select(*FEATURES, F.col("__label").alias("label")).coalesce(8))
     intercept, rules = fit(sample)
     return table.withColumn("score", compile_score(intercept, rules))
 
