@@ -193,3 +193,41 @@ def field_history(log: DataFrame, k: int = 10, only_correct: bool = True) -> Dat
 
 def newest(df: DataFrame, k: int) -> DataFrame:
     return df.orderBy(F.desc("ts"), F.desc("id")).limit(k)
+
+
+def corrections_with_samples(feedback: DataFrame, samples: DataFrame) -> DataFrame:
+    """Corrections beside the training sample of the same field and value, and samples that no correction explains (id null)."""
+    key = ["field", "value"]
+    fb = feedback.select("id", "field", F.floor("corrected").cast("long").alias("value"))
+    own = samples.groupBy(*key).agg(F.min("id").alias("sample_id"))
+    linked = fb.join(own.hint("shuffle_merge"), key, "left").select("id", *key, "sample_id")
+    orphans = own.join(fb.select(*key).distinct().hint("shuffle_merge"), key, "left_anti").select(F.lit(None).cast("long").alias("id"), *key, "sample_id")
+    return linked.unionAll(orphans)
+
+
+def training_order(training: DataFrame, least_quality: float, k: int) -> DataFrame:
+    """Each field's k best active examples of at least a quality."""
+    w = Window.partitionBy("field").orderBy(F.desc("quality"), "id")
+    rows = training.where("is_active").where(F.col("quality") >= least_quality)
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("field", "rank", "id", "value", "source")
+
+
+def train_status(feedback: DataFrame, versions: DataFrame, every: int = 5) -> DataFrame:
+    """Per field: corrections since its last training, and whether it is ready for another."""
+    last = versions.groupBy("field").agg(F.max("trained_at").alias("last"))
+    both = feedback.join(F.broadcast(last), "field", "left")  # one row a field
+    out = both.groupBy("field").agg(F.count_if(F.col("last").isNull() | (F.col("ts") >= F.col("last"))).alias("pending"))
+    return out.withColumn("ready", F.col("pending") >= every)
+
+
+def quality_report(training: DataFrame, versions: DataFrame) -> DataFrame:
+    """Data quality beside the active model of each field; fields without a model have a null version."""
+    data = training.where("is_active").groupBy("field").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("mean_quality"))
+    return data.join(versions.where("is_active").select("field", "version", "accuracy").hint("shuffle_merge"), "field", "left")
+
+
+def learning_status(log: DataFrame, patterns: DataFrame) -> DataFrame:
+    """One row: documents, extractions, share that is right, patterns and how many are active."""
+    a = log.agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_extractions"), F.round(1 - F.avg(F.col("was_corrected").cast("double")), 6).alias("share_right"))
+    b = patterns.agg(F.count("*").alias("n_patterns"), F.count_if("is_active").alias("n_active"))
+    return a.crossJoin(F.broadcast(b))  # one row each

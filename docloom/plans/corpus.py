@@ -80,6 +80,7 @@ QUERIES = {
     "value_context": lambda s, d: _docs(s, d).where(F.instr(F.lower("text"), "licensed under") > 0).select("doc_id", S.value_context("text", F.lit("licensed under"), 30).alias("context")).where("context <> ''"),
     "top_terms": lambda s, d: C.top_terms(_docs(s, d), 10),
     "doc_similarity": lambda s, d: C.similar_documents(_docs(s, d)),
+    "similar_top5": lambda s, d: C.most_similar(C.similar_documents(_docs(s, d))).select("doc_id", "rank", "other", "score"),
     "generic_entities": generic_entities,
     "turn_order": lambda s, d: s.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.min_by("role", "turn").alias("first_role"), F.max_by("role", "turn").alias("last_role")),
     "learn_patterns": learn_patterns,
@@ -97,6 +98,10 @@ _TERMS = rf"""t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z
 c AS (SELECT doc_id, term, count(*) AS n FROM t WHERE term NOT IN ({_STOP}) GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS INTEGER) AS rank FROM c)"""
 _IT = "translate(format('{:,.2f}', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE)), ',.', '.,')"
+_PAIRS = f"""WITH {_TERMS}, b AS (SELECT doc_id, term FROM r WHERE rank <= 12), z AS (SELECT doc_id, count(*) AS k FROM b GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS s FROM b x JOIN b y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY ALL),
+j AS (SELECT p.a, p.b, CAST(s AS DOUBLE) / (u.k + v.k - s) AS j, d.source = e.source AS same FROM p JOIN z u ON u.doc_id = p.a JOIN z v ON v.doc_id = p.b JOIN documents d ON d.doc_id = p.a JOIN documents e ON e.doc_id = p.b),
+w AS (SELECT a, b, round(j, 6) AS jaccard, round(CAST(0.7 AS DOUBLE) * j + CASE WHEN same THEN 0.3 ELSE 0 END, 6) AS score FROM j)"""
 ORACLE_SQL = {
     "doc_hash_dedup": "SELECT sha256(text) AS text_hash, max(doc_id) AS kept, count(*) AS copies FROM documents GROUP BY 1",
     "doc_id_assign": "SELECT doc_id, sha256('doc_' || doc_id || substr(text, 1, 500))[1:16] AS assigned FROM documents",
@@ -109,10 +114,8 @@ s AS (SELECT k, count(*) FILTER (WHERE a > 1) AS n, max(a) AS m FROM l GROUP BY
 SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CAST(coalesce(n, 0) + 1 AS INTEGER) AS n, greatest(CAST(o_totalprice AS DECIMAL(18,2)), coalesce(m, 0)) AS most FROM orders LEFT JOIN s ON k = o_orderkey""",
     "value_context": "SELECT doc_id, trim(substr(text, greatest(1, p - 30), p + 14 + 30 - greatest(1, p - 30))) AS context FROM (SELECT doc_id, text, instr(lower(text), 'licensed under') AS p FROM documents) WHERE p > 0",
     "top_terms": f"WITH {_TERMS} SELECT doc_id, term, n, rank FROM r WHERE rank <= 10",
-    "doc_similarity": f"""WITH {_TERMS}, b AS (SELECT doc_id, term FROM r WHERE rank <= 12), z AS (SELECT doc_id, count(*) AS k FROM b GROUP BY doc_id),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS s FROM b x JOIN b y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY ALL),
-j AS (SELECT p.a, p.b, CAST(s AS DOUBLE) / (u.k + v.k - s) AS j, d.source = e.source AS same FROM p JOIN z u ON u.doc_id = p.a JOIN z v ON v.doc_id = p.b JOIN documents d ON d.doc_id = p.a JOIN documents e ON e.doc_id = p.b)
-SELECT a, b, round(j, 6) AS jaccard, round(CAST(0.7 AS DOUBLE) * j + CASE WHEN same THEN 0.3 ELSE 0 END, 6) AS score FROM j WHERE round(CAST(0.7 AS DOUBLE) * j + CASE WHEN same THEN 0.3 ELSE 0 END, 6) >= 0.15""",
+    "doc_similarity": _PAIRS + " SELECT * FROM w WHERE score >= 0.15",
+    "similar_top5": _PAIRS + ", both_ways AS (SELECT a AS doc_id, b AS other, score FROM w WHERE score >= 0.15 UNION ALL SELECT b, a, score FROM w WHERE score >= 0.15) SELECT * FROM (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other) AS INTEGER) AS rank, other, score FROM both_ways) WHERE rank <= 5",
     "generic_entities": r"""WITH k(kind, p) AS (VALUES ('email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), ('ipv4', '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b'), ('licence', '[Ll]icensed under')),
 x AS (SELECT doc_id, 'email' AS kind, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS BIGINT) AS n FROM documents
 UNION ALL SELECT doc_id, 'ipv4', len(regexp_extract_all(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b')) FROM documents

@@ -82,6 +82,11 @@ QUERIES = {
     "failing_patterns": lambda s, d: A.failing_patterns(L.extraction_log(s, d), L.feedback_log(s, d)),
     "field_history": lambda s, d: A.field_history(L.extraction_log(s, d)),
     "active_versions_text": lambda s, d: _versions(s, d).where("is_active").agg(F.coalesce(F.array_join(F.array_sort(F.collect_list(F.format_string("%s:v%d", "field", "version"))), ", "), F.lit("rules-only")).alias("model_version")),
+    "corrections_samples": lambda s, d: A.corrections_with_samples(L.feedback_log(s, d), L.training_data(s, d)),
+    "training_order": lambda s, d: A.training_order(L.training_data(s, d), 0.6, 20),
+    "train_status": lambda s, d: A.train_status(L.feedback_log(s, d), _versions(s, d)),
+    "quality_report": lambda s, d: A.quality_report(L.training_data(s, d), _versions(s, d)),
+    "learning_status": lambda s, d: A.learning_status(L.extraction_log(s, d), _patterns(s, d)),
     "monitoring": lambda s, d: _quality(s, d).select("field", "n", "accuracy", (F.col("n") >= 3).alias("ruleable")),
 }
 
@@ -119,5 +124,10 @@ SELECT doc_id, field, value, round(CASE WHEN n = 1 THEN best.c ELSE least(CAST(0
     "failing_patterns": _W + ", r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY ts DESC, id DESC) AS r FROM log) SELECT pattern_id, count(*) AS n FROM r WHERE r <= 5 AND (doc_id, field) IN (SELECT (doc_id, field) FROM fb) GROUP BY pattern_id",
     "field_history": _W + "SELECT * FROM (SELECT field, CAST(row_number() OVER (PARTITION BY field ORDER BY ts DESC, id DESC) AS INTEGER) AS rank, id, value FROM log WHERE NOT was_corrected) WHERE rank <= 10",
     "active_versions_text": _W + "SELECT coalesce(string_agg(field || ':v' || v, ', ' ORDER BY field), 'rules-only') AS model_version FROM (SELECT field, max(version) AS v FROM ver GROUP BY field)",
+    "corrections_samples": _W + ", f AS (SELECT id, field, CAST(floor(corrected) AS BIGINT) AS value FROM fb), o AS (SELECT field, value, min(id) AS sample_id FROM td GROUP BY ALL) SELECT f.id, field, value, sample_id FROM f LEFT JOIN o USING (field, value) UNION ALL SELECT NULL, field, value, sample_id FROM o WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.field = o.field AND f.value = o.value)",
+    "training_order": _W + "SELECT * FROM (SELECT field, CAST(row_number() OVER (PARTITION BY field ORDER BY quality DESC, id) AS INTEGER) AS rank, id, value, source FROM td WHERE is_active AND quality >= 0.6) WHERE rank <= 20",
+    "train_status": _W + ", t AS (SELECT field, max(trained_at) AS last FROM reg GROUP BY field) SELECT field, count(*) FILTER (WHERE last IS NULL OR ts >= last) AS pending, count(*) FILTER (WHERE last IS NULL OR ts >= last) >= 5 AS ready FROM fb LEFT JOIN t USING (field) GROUP BY field",
+    "quality_report": _W + ", p AS (SELECT field, count(*) AS n, round(avg(CAST(quality AS DOUBLE)), 6) AS mean_quality FROM td WHERE is_active GROUP BY field), m AS (SELECT field, version, accuracy FROM ver QUALIFY version = max(version) OVER (PARTITION BY field)) SELECT * FROM p LEFT JOIN m USING (field)",
+    "learning_status": _W + "SELECT * FROM (SELECT count(DISTINCT doc_id) AS n_docs, count(*) AS n_extractions, round(1 - avg(CASE WHEN was_corrected THEN 1.0 ELSE 0.0 END), 6) AS share_right FROM log), (SELECT count(*) AS n_patterns, count(*) FILTER (WHERE is_active) AS n_active FROM pc)",
     "monitoring": _W + "SELECT field, n, accuracy, n >= 3 AS ruleable FROM qa",
 }

@@ -125,3 +125,10 @@ def test_as_of_is_a_parameter(spark):
     log = spark.createDataFrame([(1, "f", True, datetime.datetime(2024, 1, 1)), (2, "f", False, datetime.datetime(2024, 3, 1))], "id int, field string, was_corrected boolean, ts timestamp")
     r = analytics.extraction_quality(log, F.lit(datetime.datetime(2024, 3, 2)), 30).first()
     assert (r.n, r.accuracy, r.recent_n, r.recent_accuracy, r.trend) == (2, 0.5, 1, 1.0, "improving")
+
+
+def test_strategies(spark):
+    similar = corpus.most_similar(spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.9)], "a int, b int, score double"), 1)
+    assert sorted((r.doc_id, r.other) for r in similar.collect()) == [(1, 3), (2, 1), (3, 1)]
+    memory = spark.createDataFrame([(3, "f", "x", 0.5), (2, "f", "y", 1.0)], "doc_id int, field string, value string, confidence double")
+    assert [tuple(r) for r in corpus.strategies(similar, memory).collect()] == [(1, "f", "x", 3, 0.45)]
