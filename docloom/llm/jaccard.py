@@ -176,7 +176,6 @@ class JaccardJoin:
         parts = stored(connected_components(links))
 
         named = prefixes.join(parts.select(F.col("node").alias("rep"), "component").hint("shuffle_merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        named = stored(named)
         big = parts.groupBy("component").agg(F.count("*").alias("size"))
         sized = named.join(big.hint("shuffle_merge"), "component", "left").withColumn("size", F.coalesce("size", F.lit(1)))
         chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / CHUNK)).cast("int")
@@ -185,7 +184,7 @@ class JaccardJoin:
         rows = members.select("rep", "n", "component", "size", "chunk", F.size("prefix").alias("p"), F.posexplode("prefix").alias("pos", "token"))
         rows = rows.withColumn("slack", F.col("p") - F.col("pos")).drop("p", "pos")
         open_tokens = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-        rows = stored(rows.join(open_tokens.hint("shuffle_merge"), "token"))
+        rows = stored(rows.join(open_tokens.hint("shuffle_merge"), "token"))  # far fewer than the prefixes hold
         spans = members.groupBy(F.col("component").alias("g"), F.col("chunk").alias("gc")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
         matrix = rows.groupBy("token", F.col("component").alias("g"), F.col("chunk").alias("gc"), F.col("size").alias("gs")).agg(F.max("slack").alias("room"))
         matrix = matrix.join(spans.hint("shuffle_merge"), ["g", "gc"])
