@@ -18,7 +18,9 @@ equal doc_id follow in order of their text, so repeated rows are kept, each with
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,73 +34,65 @@ BLOCK_IDS = 1 << 18
 CHECKPOINT = 256
 MAX_LENGTH = 18
 #: Pieces of text whose ids a Python worker remembers, and the longest of them in characters.
-MEMO_PIECES, MEMO_CHARS = 400_000, 64
+MEMO_PIECES, MEMO_CHARS = 1_000_000, 48
 
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
 
+class Memo(dict):
+    """Remembers the ids that make() gives for short pre-tokens; starts anew when full."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= MEMO_PIECES:
+                self.clear()
+            self[key] = ids
+        return ids
+
+
+# The letters and digits of texts up to U+024F, for which Python's own expressions split like the tokenizer's pattern.
+_L, _N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_FAST = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+_OTHER = re.compile("[\x1c-\x1f\u0250-\U0010ffff]")
+
+
 class PieceEncoder:
-    """Ids of whole texts under a byte-level BPE of the tokenizers library, remembering the ids of pieces.
+    """Ids of whole texts under a byte-level BPE of the tokenizers library, which remembers the ids of pre-tokens.
 
-    The pre-tokenizer never joins a character that isn't white space with white space after it, so a text may be cut
-    before each such space, and the ids of the pieces, one after the other, are the ids of the text.
+    Pre-tokens are coded independently of each other, so the ids of a text are those of its pre-tokens one after the other.
+    Texts that hold a special token's string go through the library as a whole.
     """
 
     def __init__(self, path: str):
-        import re
-
+        import public_tokenizers
         import regex
         from tokenizers import Tokenizer
-        import public_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = regex.compile(public_tokenizers.PATTERN).findall
-        self.odd = re.compile(r"\s ").search
-        self.cut = re.compile(r"(?<=\S)(?= )").split
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in printable]
         self.letters = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(hidden)}
-        encode = self.encode_piece
-
-        class Memo(dict):
-            def __missing__(self, piece):
-                ids = encode(piece)
-                if len(piece) <= MEMO_CHARS:
-                    if len(self) >= MEMO_PIECES:
-                        self.clear()
-                    self[piece] = ids
-                return ids
-
-        class SpacedMemo(Memo):
-            def __missing__(self, piece):
-                ids = encode(" " + piece)
-                if len(piece) <= MEMO_CHARS:
-                    if len(self) >= MEMO_PIECES:
-                        self.clear()
-                    self[piece] = ids
-                return ids
-
-        self.memo, self.spaced = Memo(), SpacedMemo()
-
-    def encode_piece(self, piece: str) -> bytes:
-        tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        ids = [t.id for w in self.words(piece) for t in tokenize(w.encode().decode("latin-1").translate(letters))]
-        return np.array(ids, self.dtype).tobytes()
+        self.packed = "H" if self.dtype.itemsize == 2 else "I"
+        self.memo = Memo(self.encode_word)
+
+    def encode_word(self, word: str) -> bytes:
+        """Ids of one pre-token."""
+        mapped = word.encode().decode("latin-1").translate(self.letters)
+        return array(self.packed, [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        if self.odd(text) or text[0] == " ":
-            return b"".join(map(self.memo.__getitem__, self.cut(text)))
-        first, *rest = text.split(" ")
-        if rest and rest[-1] == "":
-            return b"".join(map(self.memo.__getitem__, self.cut(text)))
-        return self.memo[first] + b"".join(map(self.spaced.__getitem__, rest))
+        split = self.split if _OTHER.search(text) else _FAST.findall
+        return b"".join(map(self.memo.__getitem__, split(text)))
 
 
 def encoder(path: str) -> PieceEncoder:
