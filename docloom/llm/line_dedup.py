@@ -11,7 +11,8 @@ such substrings are hashed, and meet in ranges of the hash: each task sends one
 each key. Pairs that meet are verified by a banded bit-parallel automaton.
 
 In a large bucket (a segment that very many lines hold) all lines first meet one leader only. Lines that this leaves in one class
-need no more comparison; only lines of different classes in a bucket are paired after that. The result is exact.
+need no more comparison; only lines of different classes in a bucket are paired after that, if the counts of their characters allow
+it. The result is exact.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import connected_components, lookup_join, stored
+from docloom.llm.common import connected_components, id_filter, lookup_join, passes, stored
 
-TAU, MIN_CHARS, SMALL = 2, 20, 64
+#: Edits, least characters, pairs of a bucket that are compared at once, and cells of a bag of characters.
+TAU, MIN_CHARS, SMALL, BAG = 2, 20, 64, 24
 _ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("probe", "u1")])
 
 
@@ -165,12 +167,16 @@ def _compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = stored(pairs)
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
+    wanted = id_filter(ids)
+
     def spell(batches):
         for batch in batches:
-            seen = {line_id(x): x for t in batch.column(0).to_pylist() for x in lines_of(t) if len(x) >= MIN_CHARS}
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.string())], ["id", "line"])
+            found = {line_id(x): x for t in batch.column(0).to_pylist() for x in lines_of(t) if len(x) >= MIN_CHARS}
+            names = np.array(list(found), np.int64)
+            some = names[passes(wanted.value, names)].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([found[i] for i in some], pa.string())], ["id", "line"])
 
-    lines = lookup_join(docs.select("text").mapInArrow(spell, "id long, line string"), ids, ["id"], F.xxhash64("line", F.monotonically_increasing_id()))
+    lines = docs.select("text").mapInArrow(spell, "id long, line string").join(ids.hint("shuffle_merge"), "id")
     lines = stored(lines.groupBy("id").agg(F.first("line").alias("line")))
 
     def check(batches):
@@ -183,8 +189,24 @@ def _compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
 
 
+def _bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and bag (counts of characters by code modulo BAG) of the lines named in ids."""
+    wanted = id_filter(ids)
+
+    def count(batches):
+        for batch in batches:
+            found = {line_id(x): x for t in batch.column(0).to_pylist() for x in lines_of(t) if len(x) >= MIN_CHARS}
+            names = np.array(list(found), np.int64)
+            some = names[passes(wanted.value, names)].tolist()
+            bags = [np.bincount(np.frombuffer(found[i].encode("utf-32-le", "surrogatepass"), "<u4") % BAG, minlength=BAG).tolist() for i in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(bags, pa.list_(pa.int32()))], ["id", "bag"])
+
+    made = docs.select("text").mapInArrow(count, "id long, bag array<int>").join(ids.hint("shuffle_merge"), "id")
+    return stored(made.groupBy("id").agg(F.first("bag").alias("bag")))
+
+
 def kept_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, kept (numbers, from 0, of the lines that stay), n_links (links of its lines) of every document that has a doc_id."""
+    """doc_id, n_lines, kept (numbers, from 0, of the lines that stay) of every document that has a doc_id."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -197,23 +219,25 @@ def kept_lines(docs: DataFrame) -> DataFrame:
         named = big.join(parts.select(F.col("node").alias("id"), "component").hint("shuffle_merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
         named = stored(named.join(mixed.hint("shuffle_merge"), "bucket"))
-        held = named.where("probe = 0").select("bucket", F.col("id").alias("u"), F.col("component").alias("cu"))
-        asking = named.where("probe = 1").select("bucket", F.col("id").alias("v"), F.col("component").alias("cv"))
-        late = held.join(asking.hint("shuffle_merge"), "bucket").where("cu <> cv").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        bags = _bags(rows, stored(named.select("id").distinct()))
+        named = named.join(bags.hint("shuffle_merge"), "id")
+        held = named.where("probe = 0").select("bucket", F.col("id").alias("u"), F.col("component").alias("cu"), F.col("bag").alias("bu"))
+        asking = named.where("probe = 1").select("bucket", F.col("id").alias("v"), F.col("component").alias("cv"), F.col("bag").alias("bv"))
+        # An edit changes the counts of characters by 2 at most.
+        far = F.aggregate(F.zip_with("bu", "bv", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+        late = held.join(asking.hint("shuffle_merge"), "bucket").where((F.col("cu") != F.col("cv")) & (far <= 2 * TAU)).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
         links = links.unionAll(_compare(rows, late)).distinct()
         parts = stored(connected_components(links))
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("k"))
-    classes = stored(parts.join(degree.hint("shuffle_merge"), F.col("node") == F.col("id")).select("id", "component", "k"))
+    classes = parts.select(F.col("node").alias("id"), "component")
     occur = survey.where("ids is not null").select("doc_id", F.posexplode("ids").alias("no", "id"))
-    blank = occur.where("id = 0").select("doc_id", "no", F.lit(0).cast("long").alias("k"))
     placed = lookup_join(occur.where("id <> 0"), classes, ["id"], F.struct("doc_id", "no"), "left")
-    placed = placed.select("doc_id", "no", F.coalesce("component", "id").alias("class"), F.coalesce("k", F.lit(0)).alias("k"))
+    placed = placed.select("doc_id", "no", F.coalesce("component", "id").alias("class"))
     first = placed.groupBy("class").agg(F.min(F.struct("doc_id", "no")).alias("f")).select("f.doc_id", "f.no")
-    stay = first.unionAll(blank.select("doc_id", "no")).groupBy("doc_id").agg(F.sort_array(F.collect_set("no")).alias("kept"))
-    counts = placed.groupBy("doc_id").agg(F.sum("k").alias("n_links"))
+    blank = occur.where("id = 0").select("doc_id", "no")
+    stay = first.unionAll(blank).groupBy("doc_id").agg(F.sort_array(F.collect_set("no")).alias("kept"))
     per_doc = survey.where("ids is not null").groupBy("doc_id").agg(F.max(F.size("ids")).alias("n_lines"))
-    out = per_doc.join(stay.hint("shuffle_merge"), "doc_id", "left").join(counts.hint("shuffle_merge"), "doc_id", "left")
-    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = per_doc.join(stay.hint("shuffle_merge"), "doc_id", "left")
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -226,10 +250,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every document how many lines it has, keeps and loses as near copies of earlier lines, and their links to other lines."""
+    """Of every document how many lines it has, keeps and loses as near copies of earlier lines."""
     kept = kept_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n = F.size("kept").cast("long")
-    return kept.select("doc_id", "n_lines", n.alias("n_kept"), (F.col("n_lines") - n).alias("n_dropped"), "n_links", F.crc32(F.array_join(F.col("kept").cast("array<string>"), ",").cast("binary")).alias("kept_crc32"))
+    return kept.select("doc_id", "n_lines", n.alias("n_kept"), (F.col("n_lines") - n).alias("n_dropped"), F.crc32(F.array_join(F.col("kept").cast("array<string>"), ",").cast("binary")).alias("kept_crc32"))
 
 
 QUERIES = {"op7_line_dedup": op7_line_dedup}
