@@ -101,6 +101,16 @@ class JaccardJoin:
         rest = f"greatest(({n} * {a} + {d - 1}) div {d}, ({n} * {b} + {d - 1}) div {d}) - 1"
         return f"greatest(1, ({n} * ({a} + {b}) + {n + d - 1}) div {n + d} - ({rest}))"
 
+    def least_need(self, a: str, low: str, high: str) -> str:
+        """SQL for the least need(a, b) over all b from low to high.
+
+        Up to a it grows with b, so low decides. From there it falls by num^2 / (den (num + den)) a step, but for the roundings, which
+        can put it above an inner one by 1: only sizes so near to high that the fall is less than 1 can be below high.
+        """
+        n, d = self.num, self.den
+        near = range(1, -(-d * (n + d) // (n * n)))
+        return f"least({', '.join(self.need(a, b) for b in (low, high, *(f'greatest({low}, {high} - {k})' for k in near)))})"
+
     def fits(self, a: str, b: str) -> str:
         return f"{self.den} * least({a}, {b}) >= {self.num} * greatest({a}, {b})"
 
@@ -190,7 +200,7 @@ class JaccardJoin:
         matrix = matrix.join(spans.hint("shuffle_merge"), ["g", "gc"])
         low = f"greatest(lo, ({self.num} * n + {self.den - 1}) div {self.den})"
         high = f"least(hi, ({self.den} * n) div {self.num})"
-        least = f"least({self.need('n', low)}, {self.need('n', high)})"
+        least = self.least_need("n", low, high)
         asked = rows.select("token", "rep", "n", "slack", "component", "size").join(matrix.hint("shuffle_merge"), "token")
         asked = asked.where("component <> g and struct(size, component) < struct(gs, g)")
         asked = asked.where(f"{self.num} * lo <= {self.den} * n and {self.num} * n <= {self.den} * hi and least(slack, room) >= {least}")

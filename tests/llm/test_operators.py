@@ -237,6 +237,28 @@ def test_jaccard_is_exact(spark, width, num):
     assert got == {i: (len(sets[i]), root(i)) for i in part}
 
 
+@pytest.mark.parametrize("num, shared, own, more", [(90, 63, 1, 6), (80, 20, 1, 4)])
+def test_jaccard_inner_sizes(spark, num, shared, own, more):
+    """A link to a member whose size is inside its group's range: 64 to 69 among 68, 69, 70 at 0.9; 21 to 24 among 23, 24, 25 at 0.8."""
+    names = sorted((f"w{k}" for k in range(200)), key=lambda w: int(words.shingle_sets([w], 1)[0][0]))
+    x_own, y_own, both = names[:own], names[own : own + more + 1], names[50 : 50 + shared]
+    rows = [(1, x_own + both), (2, y_own[:more] + both), (3, y_own[:more] + both[:-1]), (4, y_own + both)]
+    docs = make_docs(spark, [(i, " ".join(t), "en", "a") for i, t in rows] + [(9, "far away", "en", "a")])
+    got = {r.doc_id: r.component_id for r in jaccard.JaccardJoin(docs, 1, num, 100).link().collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9}
+
+
+@pytest.mark.parametrize("num", [50, 80, 90, 95])
+def test_jaccard_least_need(spark, num):
+    join = jaccard.JaccardJoin(make_docs(spark, []), 1, num, 100)
+    n = spark.range(1, 130).select(F.col("id").alias("n"))
+    low, high = f"({num} * n + 99) div 100", f"(100 * n) div {num}"
+    rows = n.select("n", F.expr(f"explode(sequence({low}, {high}))").alias("low")).select("n", "low", F.expr(f"explode(sequence(low, {high}))").alias("high"))
+    bound = F.expr(join.least_need("n", "low", "high"))
+    true = F.expr(f"array_min(transform(sequence(low, high), b -> {join.need('n', 'b')}))")
+    assert rows.where(bound != true).count() == 0
+
+
 def test_jaccard_odd(odd, none):
     got = {r.doc_id: r.component_id for r in jaccard.JaccardJoin(odd).link().collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, None: None, 7: 7, 8: 8, 9: 9}
