@@ -10,9 +10,9 @@ shorter holds it as a substring, at one of the few places that length and segmen
 such substrings are hashed, and meet in ranges of the hash: each task sends one packed array to each range, as a shuffle would, not a row for
 each key. Pairs that meet are verified by a banded bit-parallel automaton.
 
-In a large bucket (a segment that very many lines hold) all lines first meet one leader only. Lines that this leaves in one class
-need no more comparison; only lines of different classes in a bucket are paired after that, if the counts of their characters allow
-it. The result is exact.
+A large bucket (a segment that very many lines hold) is dealt out in blocks, so that no task has all of its pairs: each block holds some
+of the lines found there, and all that look for them. Pairs are compared if the counts of their characters allow it, those inside
+a class too. Classes and numbers of links are exact.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import connected_components, id_filter, lookup_join, passes, stored
 
-#: Edits, least characters, pairs of a bucket that are compared at once, and cells of a bag of characters.
-TAU, MIN_CHARS, SMALL, BAG = 2, 20, 64, 24
+#: Edits, least characters, pairs of a bucket that are compared at once, cells of a bag of characters, and pairs of a block.
+TAU, MIN_CHARS, SMALL, BAG, BLOCK = 2, 20, 64, 24, 1 << 14
 _ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("probe", "u1")])
 
 
@@ -140,26 +140,25 @@ def _survey(ranges: int):
 
 
 def meet(table: pa.Table) -> pa.Table:
-    """(bucket, a, b, probe) of one range. bucket null: a pair to compare. Else b's place in a large bucket, for later."""
+    """(bucket, a, b, probe, blocks) of one range. bucket null: a pair to compare. Else a's place in a large bucket of so many blocks, for later."""
     entries = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), _ENTRY) for x in table.column("entries")]))
     key = entries["key"]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     ends = np.append(starts[1:], len(key))
     many = np.flatnonzero(ends - starts > 1)
-    out: list[tuple[int | None, int, int, int]] = []
+    out: list[tuple[int | None, int, int, int, int]] = []
     for a, b in zip(starts[many].tolist(), ends[many].tolist()):
         ids, probe = entries["id"][a:b], entries["probe"][a:b]
         held, asking = np.unique(ids[probe == 0]).tolist(), np.unique(ids[probe == 1]).tolist()
         if not held or len(held) == len(asking) == 1 and held == asking:
             continue
         if len(held) * len(asking) <= SMALL:
-            out += [(None, min(x, y), max(x, y), 0) for x in held for y in asking if x != y]
+            out += [(None, min(x, y), max(x, y), 0, 1) for x in held for y in asking if x != y]
         else:
-            lead, bucket = held[0], int(key[a].view(np.int64))
-            out += [(None, min(lead, y), max(lead, y), 0) for y in asking if y != lead]
-            out += [(bucket, lead, x, 0) for x in held] + [(bucket, lead, y, 1) for y in asking]
-    cols = list(zip(*out)) if out else [[], [], [], []]
-    return pa.table({"bucket": pa.array(cols[0], pa.int64()), "a": pa.array(cols[1], pa.int64()), "b": pa.array(cols[2], pa.int64()), "probe": pa.array(cols[3], pa.int32())})
+            bucket, blocks = int(key[a].view(np.int64)), min(len(held), -(-len(held) * len(asking) // BLOCK))
+            out += [(bucket, x, x, 0, blocks) for x in held] + [(bucket, y, y, 1, blocks) for y in asking]
+    cols = list(zip(*out)) if out else [[], [], [], [], []]
+    return pa.table({"bucket": pa.array(cols[0], pa.int64()), "a": pa.array(cols[1], pa.int64()), "b": pa.array(cols[2], pa.int64()), "probe": pa.array(cols[3], pa.int32()), "blocks": pa.array(cols[4], pa.int32())})
 
 
 def _compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -206,38 +205,42 @@ def _bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, kept (numbers, from 0, of the lines that stay) of every document that has a doc_id."""
+    """Of every document that has a doc_id: doc_id, n_lines, kept (numbers, from 0, of the lines that stay), n_links (of its lines
+    to other lines, all places counted) and classes (no, class of each line that isn't blank; a class is named by its smallest line id)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     survey = stored(rows.mapInArrow(_survey(ranges), "doc_id long, ids array<long>, range int, entries binary"))
-    met = stored(survey.where("range is not null").select("range", "entries").groupBy("range").applyInArrow(meet, "bucket long, a long, b long, probe int"))
-    links = _compare(rows, met.where("bucket is null").select("a", "b").distinct())
-    parts = stored(connected_components(links))
-    big = met.where("bucket is not null").select("bucket", F.col("b").alias("id"), "probe").distinct()
+    met = stored(survey.where("range is not null").select("range", "entries").groupBy("range").applyInArrow(meet, "bucket long, a long, b long, probe int, blocks int"))
+    pairs = met.where("bucket is null").select("a", "b")
+    big = met.where("bucket is not null").select("bucket", F.col("a").alias("id"), "probe", "blocks")
     if big.limit(1).count():
-        named = big.join(parts.select(F.col("node").alias("id"), "component").hint("shuffle_merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-        named = stored(named.join(mixed.hint("shuffle_merge"), "bucket"))
-        bags = _bags(rows, stored(named.select("id").distinct()))
-        named = named.join(bags.hint("shuffle_merge"), "id")
-        held = named.where("probe = 0").select("bucket", F.col("id").alias("u"), F.col("component").alias("cu"), F.col("bag").alias("bu"))
-        asking = named.where("probe = 1").select("bucket", F.col("id").alias("v"), F.col("component").alias("cv"), F.col("bag").alias("bv"))
+        bags = _bags(rows, stored(big.select("id").distinct()))
+        big = big.join(bags.hint("shuffle_merge"), "id")
+        held = big.where("probe = 0").select("bucket", F.pmod(F.xxhash64("id"), F.greatest("blocks", F.lit(1))).cast("int").alias("block"), F.col("id").alias("u"), F.col("bag").alias("bu"))
+        asking = big.where("probe = 1").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("v"), F.col("bag").alias("bv"))
         # An edit changes the counts of characters by 2 at most.
         far = F.aggregate(F.zip_with("bu", "bv", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
-        late = held.join(asking.hint("shuffle_merge"), "bucket").where((F.col("cu") != F.col("cv")) & (far <= 2 * TAU)).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-        links = links.unionAll(_compare(rows, late)).distinct()
-        parts = stored(connected_components(links))
-    classes = parts.select(F.col("node").alias("id"), "component")
+        inside = held.join(asking.hint("shuffle_merge"), ["bucket", "block"]).where((F.col("u") != F.col("v")) & (far <= 2 * TAU))
+        pairs = pairs.unionAll(inside.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
+    links = _compare(rows, pairs.distinct())
+    parts = connected_components(links).select(F.col("node").alias("id"), "component")
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("k"))
+    classes = stored(parts.join(degree.hint("shuffle_merge"), "id"))
     occur = survey.where("ids is not null").select("doc_id", F.posexplode("ids").alias("no", "id"))
     placed = lookup_join(occur.where("id <> 0"), classes, ["id"], F.struct("doc_id", "no"), "left")
-    placed = placed.select("doc_id", "no", F.coalesce("component", "id").alias("class"))
+    placed = placed.select("doc_id", "no", F.coalesce("component", "id").alias("class"), "id", F.coalesce("k", F.lit(0)).alias("k"))
     first = placed.groupBy("class").agg(F.min(F.struct("doc_id", "no")).alias("f")).select("f.doc_id", "f.no")
     blank = occur.where("id = 0").select("doc_id", "no")
     stay = first.unionAll(blank).groupBy("doc_id").agg(F.sort_array(F.collect_set("no")).alias("kept"))
+    # Rows with equal doc_id and equal lines count once.
+    lines = placed.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("no", "class", "id", "k"))).alias("lines"))
     per_doc = survey.where("ids is not null").groupBy("doc_id").agg(F.max(F.size("ids")).alias("n_lines"))
-    out = per_doc.join(stay.hint("shuffle_merge"), "doc_id", "left")
-    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
+    out = per_doc.join(stay.hint("shuffle_merge"), "doc_id", "left").join(lines.hint("shuffle_merge"), "doc_id", "left")
+    n_links = F.aggregate("lines", F.lit(0).cast("long"), lambda t, x: t + x["k"])
+    named = F.array_distinct(F.transform("lines", lambda x: F.struct(x["no"].alias("no"), x["class"].alias("class"))))
+    empty = F.array().cast("array<struct<no:int,class:bigint>>")
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"), F.coalesce(n_links, F.lit(0)).alias("n_links"), F.coalesce(named, empty).alias("classes"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -250,10 +253,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every document how many lines it has, keeps and loses as near copies of earlier lines."""
+    """Of every document how many lines it has, keeps and loses as near copies of earlier lines, their links to other lines and their classes."""
     kept = kept_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n = F.size("kept").cast("long")
-    return kept.select("doc_id", "n_lines", n.alias("n_kept"), (F.col("n_lines") - n).alias("n_dropped"), F.crc32(F.array_join(F.col("kept").cast("array<string>"), ",").cast("binary")).alias("kept_crc32"))
+    return kept.select("doc_id", "n_lines", n.alias("n_kept"), (F.col("n_lines") - n).alias("n_dropped"), "n_links", "classes", F.crc32(F.array_join(F.col("kept").cast("array<string>"), ",").cast("binary")).alias("kept_crc32"))
 
 
 QUERIES = {"op7_line_dedup": op7_line_dedup}

@@ -322,6 +322,33 @@ def test_line_dedup_is_exact(spark):
     assert out[None] == "x\nx" and out[3] == "\n".join(line_dedup.lines_of(texts[3])[k] for k in kept[3])
 
 
+def test_line_dedup_links_and_classes(spark, monkeypatch):
+    """Links inside a class of a bucket with more than SMALL pairs, dealt out in several blocks, and the classes of all lines."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 100)
+    rng = random.Random(5)
+    base, kinds = prose(77, 6), []
+    for _ in range(40):
+        line = list(base)
+        for k in rng.sample(range(len(line)), rng.randint(0, 2)):
+            line[k] = rng.choice("0123456789")
+        kinds.append("".join(line))
+    texts = ["\n".join([kinds[i], "", kinds[(7 * i) % 40], "alone " + prose(i, 8)]) for i in range(40)]
+    got = {r.doc_id: r for r in line_dedup.kept_lines(make_docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    every = sorted({x for t in texts for x in t.split("\n") if x})
+    near = {x: {y for y in every if y != x and line_dedup.within(x, y)} for x in every}
+    reach = {}
+    for x in every:
+        seen, todo = {x}, [x]
+        while todo:
+            todo = [z for y in todo for z in near[y] if z not in seen and not seen.add(z)]
+        reach[x] = min(map(line_dedup.line_id, seen))
+    for i, t in enumerate(texts):
+        lines = [(k, x) for k, x in enumerate(t.split("\n")) if x]
+        assert got[i].n_links == sum(len(near[x]) for _, x in lines)
+        assert [tuple(c) for c in got[i].classes] == [(k, reach[x]) for k, x in lines]
+    assert sum(map(len, near.values())) > 2 * line_dedup.SMALL
+
+
 def test_line_dedup_odd(odd, none):
     assert line_dedup.kept_lines(odd).count() == 8 and line_dedup.kept_lines(none).count() == 0
 
