@@ -132,3 +132,11 @@ def test_strategies(spark):
     assert sorted((r.doc_id, r.other) for r in similar.collect()) == [(1, 3), (2, 1), (3, 1)]
     memory = spark.createDataFrame([(3, "f", "x", 0.5), (2, "f", "y", 1.0)], "doc_id int, field string, value string, confidence double")
     assert [tuple(r) for r in corpus.strategies(similar, memory).collect()] == [(1, "f", "x", 3, 0.45)]
+
+
+def test_similar_documents_hot_terms(spark):
+    """Pairs that share only a term which more than `hot` documents have are met too, each once."""
+    docs = spark.createDataFrame([(i, f"common only{'abcdefghi'[i]}", "s" if i < 6 else f"t{i}") for i in range(9)], "doc_id long, text string, source string")
+    got = sorted((r.a, r.b, r.score) for r in corpus.similar_documents(docs, hot=2).collect())
+    score = lambda a, b: round(0.7 / 3 + (0.3 if b < 6 else 0), 6)
+    assert got == [(a, b, score(a, b)) for a in range(9) for b in range(a + 1, 9)]
