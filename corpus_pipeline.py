@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import decontam, jaccard, langid, mixing, tokens
-from docloom.llm.common import scratch_dir, stored
+from docloom.llm.common import bounded_batches, lookup_join, map_texts, scratch_dir, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,16 +20,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of every group of documents whose sets of five-word shingles reach similarity 0.8, once; rows without doc_id stay."""
-    found = jaccard.JaccardJoin(docs, 5, 80, 100).link()
-    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct())
-    left = docs.join(gone.hint("shuffle_merge"), "doc_id", "left_anti").select(*docs.columns)
-    again = stored(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"))
-    if not again.limit(1).count():
-        return left
-    once = left.join(again.hint("shuffle_merge"), "doc_id", "left_anti").select(*docs.columns)
-    alike = left.join(again.hint("shuffle_merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return once.unionAll(alike)
+    """Keeps one row of every group of texts whose sets of five-word shingles reach similarity 0.8: that of the smallest doc_id (null last).
+
+    Texts, not doc_ids, make the groups, so rows that share a doc_id stay if their texts are apart. Rows without words all stay.
+    """
+    per_doc, parts = jaccard.JaccardJoin(docs, 5, 80, 100).groups()
+    named = lookup_join(per_doc.where("n > 0"), parts, ["set_id"], F.xxhash64("doc_id"), "left")
+    grouped = named.select("doc_id", "set_id", F.coalesce("component", "set_id").alias("component"))
+    keeper = grouped.groupBy("component").agg(F.count("*").alias("k"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_id")).alias("first"))
+    # Only groups of several rows are touched: of them the first (doc_id, set) stays, once.
+    several = stored(keeper.where("k > 1").select("component", "first"))
+    met = lookup_join(grouped, several, ["component"], F.xxhash64("doc_id", "set_id"))
+    stays = (F.col("set_id") == F.col("first.set_id")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    fate = stored(met.select(F.col("doc_id").alias("own"), F.col("set_id").alias("name"), stays.alias("stays")).groupBy("own", "name", "stays").agg(F.count("*").alias("k")))
+    same = (F.col("own").eqNullSafe(F.col("doc_id"))) & (F.col("name") == F.col("__set"))
+    with bounded_batches(spark):
+        marked = map_texts(docs.withColumn("__text", F.col("text")), jaccard.text_sets(5), "__n bigint, __set bigint", "__text", keep_text=False)
+        left = stored(marked.join(fate.hint("shuffle_merge"), same, "left").where("stays or stays is null"))
+    once = left.where("k is null or k = 1").select(*docs.columns)
+    if not fate.where("stays and k > 1").limit(1).count():
+        return once
+    return once.unionAll(left.where("k > 1").dropDuplicates(["doc_id", "__set"]).select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

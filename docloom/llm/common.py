@@ -41,6 +41,11 @@ def conf(spark: SparkSession, **settings: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 4000, megabytes: int = 4):
+    """Arrow batches of bounded size, in rows and in bytes, so that very long texts don't decide a worker's memory."""
+    return conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows), spark__sql__execution__arrow__maxBytesPerBatch=str(megabytes << 20))
+
+
 def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """df written as Parquet in the shared folder and read back: it survives lost executors, and the
     shuffle files that made it are removed at once."""
@@ -79,25 +84,25 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], spread: Column
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges(a, b) -> (node, component): the smallest node that each node reaches. Nodes without edges are absent.
 
-    Alternating large-star and small-star rounds; each is two aggregations by key with map-side
-    combination, so a hub with very many neighbours only contributes one partial row per task. Rounds are
-    written to the shared folder and repeated until the sum of all labels and the edges stand still.
+    Alternating large-star and small-star rounds. Smallest neighbours are aggregated with map-side combination and looked up by a key that
+    is spread, so a hub with very many neighbours doesn't meet them in one task. Rounds are written to the shared folder
+    and repeated until the sum of all labels and the edges stand still.
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     cur = stored(both)
     before = None
     for _ in range(max_rounds):
         two = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = two.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = two.where("v > u").join(low.hint("shuffle_merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = stored(two.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = lookup_join(two.where("v > u"), low, ["u"], F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.where("u <> v").distinct())
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lows.hint("shuffle_merge"), "u").select(
+        lows = stored(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = lookup_join(large, lows, ["u"], F.col("v")).select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
         )
         new = stored(small.where("u <> v").distinct())
-        drop_stored(cur)
-        drop_stored(large)
+        for used in (cur, low, large, lows):
+            drop_stored(used)
         cur = new
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -109,6 +114,25 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 
 
+def lean(run):
+    """run, for mapInArrow, with the memory of a task given back at its end: Python workers are used again by later tasks."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return task
+
+
 def map_texts(df: DataFrame, make, fields: str, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """df, with or without its text column, and new columns that Python makes from the texts.
 
@@ -127,11 +151,11 @@ def map_texts(df: DataFrame, make, fields: str, text_col: str = "text", keep_tex
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], *work(batch.column(at))], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
-#: Bits of an id filter; 16 MB, whatever the number of ids.
-FILTER_BITS = 27
+#: Bits of an id filter (8 MB); beyond so many ids it would let too many others pass to be worth its making; tasks that make it.
+FILTER_BITS, FILTER_IDS, FILTER_TASKS = 26, 1 << 23, 8
 
 
 def filter_places(ids):
@@ -143,40 +167,37 @@ def filter_places(ids):
 
 
 def id_filter(ids: DataFrame):
-    """A broadcast bit set that holds every id of a table (id long) and few others: rows that it refuses need not be moved.
+    """A broadcast bit set that holds every id of a stored table (id long) and few others: rows that it refuses need not be moved.
 
-    It has a fixed size. The more ids, the more others pass, so an exact join must follow.
+    It has a fixed size and is made by FILTER_TASKS tasks. None, which lets all pass, beyond FILTER_IDS ids; either way an exact join must follow.
     """
     import numpy as np
     import pyarrow as pa
 
-    page = 1 << 12
+    if ids.count() > FILTER_IDS:
+        return None
+    page = 1 << 16
 
     def set_bits(batches):
         bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
         for batch in batches:
             at = filter_places(batch.column(0).to_numpy())
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        pages = bits.reshape(-1, page)
-        used = np.flatnonzero(pages.any(axis=1))
-        for lo in range(0, len(used), 1024):
-            some = used[lo : lo + 1024]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([pages[k].tobytes() for k in some], pa.binary())], ["page", "bits"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        bits = np.zeros(page, np.uint8)
-        for x in table.column("bits"):
-            bits |= np.frombuffer(x.as_buffer(), np.uint8)
-        return pa.table({"page": table.column("page").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    rows = ids.mapInArrow(set_bits, "page int, bits binary").groupBy("page").applyInArrow(merge, "page int, bits binary").collect()
-    bits = np.zeros((1 << (FILTER_BITS - 3)) // page * page, np.uint8).reshape(-1, page)
-    for r in rows:
-        bits[r["page"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        for k, some in enumerate(bits.reshape(-1, page)):
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([some.tobytes()], pa.binary())], ["page", "bits"])
+
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8).reshape(-1, page)
+    for r in ids.coalesce(FILTER_TASKS).mapInArrow(set_bits, "page int, bits binary").toLocalIterator():
+        bits[r["page"]] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     return ids.sparkSession.sparkContext.broadcast(bits.reshape(-1))
 
 
-def passes(bits, ids):
+def passes(wanted, ids):
     """Which ids an id filter lets through."""
+    import numpy as np
+
+    if wanted is None:
+        return np.ones(len(ids), bool)
     at = filter_places(ids)
-    return (bits[at >> 3] >> (at & 7).astype("uint8")) & 1 == 1
+    return (wanted.value[at >> 3] >> (at & 7).astype("uint8")) & 1 == 1

@@ -1,8 +1,9 @@
 """N-gram Jaccard join over a token-group matrix.
 
-Two documents link when their sets of word shingles have a Jaccard similarity of at least num / den. The join is exact:
+Two texts link when their sets of word shingles have a Jaccard similarity of at least num / den. The join is exact but for hashing:
+shingles, and sets of them (`set_id`), are known by 64-bit hashes.
 
-1. Documents with equal sets become one class, under the smallest doc_id; copies are never paired.
+1. Documents with equal sets become one class, named by the set's hash; copies are never paired.
 2. Each class keeps its prefix: the first n - ceil(t n) + 1 shingles in one global order. Linked sets share a shingle of
    their prefixes, and in fact most of them (`need`). The order puts shingles that very many documents share last; which ones is
    only a matter of speed, so a bounded list of those seen repeatedly in one task serves.
@@ -16,8 +17,10 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
 Pairs inside a component found by leaders need no comparison, since component_id can't change by them. A comparison first bounds the overlap
 by the two prefixes, then intersects the whole sets.
 
-Null or empty texts have no shingles and link with nothing. Rows with a null doc_id get their n_shingles and a null
-component. Rows with equal doc_id are one node.
+Null or empty texts have no shingles and link with nothing. Rows with equal doc_id are one node for link(), which all their texts
+belong to; groups() tells their texts apart. Rows with a null doc_id get their n_shingles and a null component from link().
+Repeated rows come back as often as they are there. An empty table gives an empty result. Of other columns none is read, so their
+names don't matter.
 """
 
 from __future__ import annotations
@@ -27,30 +30,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import conf, connected_components, drop_stored, id_filter, passes, stored
+from docloom.llm.common import bounded_batches, connected_components, drop_stored, id_filter, lean, lookup_join, passes, stored
 from docloom.llm.words import mix, shingle_sets
 
 #: Shingles at most that the global order puts last, members of a group's chunk.
 COMMON, CHUNK = 200_000, 64
-#: Documents whose shingles a Python worker holds at once.
-BATCH_DOCS = 2000
+#: Shingles that a task of the survey looks through for repeated ones at once.
+HELD = 1 << 21
+
+
+def set_id(shingles: np.ndarray) -> int:
+    """The name of a set of shingles."""
+    return int(mix(shingles).sum(dtype=np.uint64).view(np.int64))
+
+
+def text_sets(width: int):
+    """For map_texts: n_shingles and set_id of each text."""
+
+    def work(texts):
+        sets = shingle_sets(texts.to_pylist(), width)
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())]
+
+    return lambda: work
 
 
 def _survey(width: int):
-    """(doc_id, n, a, b) of each document; then, with doc_id null and n null, (a: shingle, b: documents) seen in two or more."""
+    """(doc_id, n, a: the set's name) of each document; then, of kind 1, (a: shingle, n: documents) seen in two or more."""
 
     def run(batches):
-        names = ["kind", "doc_id", "n", "a", "b"]
+        names = ["kind", "doc_id", "n", "a"]
         kept: list[np.ndarray] = []
         held = 0
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), width)
-            one = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
-            two = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names)
-            kept.append(np.concatenate(sets) if sets else np.zeros(0, np.uint64))
-            held += len(kept[-1])
-            if held > 1 << 22:
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names)
+            kept += sets
+            held += sum(map(len, sets))
+            if held > HELD:
                 yield from repeated(kept, names)
                 kept, held = [], 0
         if kept:
@@ -61,8 +77,7 @@ def _survey(width: int):
         seen, times = seen[times > 1], times[times > 1]
         for at in range(0, len(seen), 100_000):
             s, t = seen[at : at + 100_000].view(np.int64), times[at : at + 100_000]
-            none = pa.nulls(len(s), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(s), np.int32)), none, none, pa.array(s), pa.array(t.astype(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(s), np.int32)), pa.nulls(len(s), pa.int64()), pa.array(t.astype(np.int64)), pa.array(s)], names)
 
     return run
 
@@ -71,19 +86,22 @@ def _prefixes(width: int, num: int, den: int, shared):
     def run(batches):
         common = shared.value
         for batch in batches:
-            n, rows = [], []
-            for s in shingle_sets(batch.column(1).to_pylist(), width):
-                length = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
-                n.append(len(s))
-                first = s[: min(len(s), length)]
-                if len(common) and length:
+            n, rows, ids, seen = [], [], [], set()
+            for s in shingle_sets(batch.column(0).to_pylist(), width):
+                name = set_id(s)
+                if not len(s) or name in seen:
+                    continue
+                seen.add(name)
+                length = len(s) - -(-num * len(s) // den) + 1
+                first = s[:length]
+                if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     late = common[at] == s
                     first = np.concatenate([s[~late], s[late]])[:length]
-                rows.append(first.view(np.int64))
+                ids.append(name), n.append(len(s)), rows.append(first.view(np.int64))
             ends = np.cumsum([0, *map(len, rows)])
             flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["rep", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["rep", "n", "prefix"])
 
     return run
 
@@ -128,11 +146,12 @@ class JaccardJoin:
 
         def sets(batches):
             for batch in batches:
-                batch = batch.filter(pa.array(passes(wanted.value, batch.column(0).to_numpy())))
-                found = shingle_sets(batch.column(1).to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "tokens"])
+                found = {set_id(s): s for s in shingle_sets(batch.column(0).to_pylist(), width)}
+                names = np.array(list(found), np.int64)
+                some = names[passes(wanted, names)].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([found[k].tobytes() for k in some], pa.binary())], ["rep", "tokens"])
 
-        made = self.docs.where("doc_id is not null").mapInArrow(sets, "rep long, tokens binary")
+        made = self.docs.select("text").mapInArrow(lean(sets), "rep long, tokens binary")
         table = stored(made.join(ids.select(F.col("doc_id").alias("rep")).hint("shuffle_merge"), "rep").dropDuplicates(["rep"]))
 
         def check(batches):
@@ -146,21 +165,21 @@ class JaccardJoin:
 
         full = near.join(table.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")).hint("shuffle_merge"), "a")
         full = full.join(table.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")).hint("shuffle_merge"), "b")
-        links = stored(full.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long").distinct())
+        links = stored(full.select("a", "b", "ta", "tb").mapInArrow(lean(check), "a long, b long").distinct())
         for used in (near, ids, table):
             drop_stored(used)
         return links
 
-    def link(self) -> DataFrame:
-        """doc_id, n_shingles, component_id of every document."""
-        with conf(self.docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_DOCS)):
-            return self._link()
+    def groups(self) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, n, set_id) of every row, stored, and (set_id, component) of all sets that link with another; a component is its smallest set_id."""
+        with bounded_batches(self.docs.sparkSession):
+            return self._groups()
 
-    def _link(self) -> DataFrame:
+    def _groups(self) -> tuple[DataFrame, DataFrame]:
         spark = self.docs.sparkSession
-        survey = stored(self.docs.mapInArrow(_survey(self.width), "kind int, doc_id long, n long, a long, b long"))
-        per_doc = survey.where("kind = 0").drop("kind")
-        often = survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("k"))
+        survey = stored(self.docs.mapInArrow(lean(_survey(self.width)), "kind int, doc_id long, n long, a long"))
+        per_doc = survey.where("kind = 0").select("doc_id", "n", F.col("a").alias("set_id"))
+        often = survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("k"))
         least = 16
         sizes = often.where(f"k >= {least}").groupBy(F.floor(F.log2("k")).cast("int").alias("l")).agg(F.count("*").alias("n")).collect()
         total = 0
@@ -173,13 +192,12 @@ class JaccardJoin:
         common = often.where(f"k >= {least}").select("a").toPandas()["a"].to_numpy(np.int64)
         shared = spark.sparkContext.broadcast(np.sort(common.view(np.uint64)))
 
-        classes = stored(per_doc.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")))
-        made = self.docs.where("doc_id is not null").mapInArrow(_prefixes(self.width, self.num, self.den, shared), "rep long, n long, prefix array<long>")
-        prefixes = stored(made.join(classes.select("rep").distinct().hint("shuffle_merge"), "rep", "left_semi").dropDuplicates(["rep"]))
+        made = self.docs.select("text").mapInArrow(lean(_prefixes(self.width, self.num, self.den, shared)), "rep long, n long, prefix array<long>")
+        prefixes = stored(made.dropDuplicates(["rep"]))
 
         tokens = prefixes.select("rep", "n", F.explode("prefix").alias("token"))
         band = F.floor(F.log("n") / float(-np.log(self.num / self.den))).cast("int")
-        banded = tokens.withColumn("band", band)
+        banded = tokens.select("token", band.alias("band"), "rep")
         lead = banded.groupBy("token", "band").agg(F.count("*").alias("k"), F.min("rep").alias("a")).where("k > 1").drop("k")
         pairs = banded.join(lead.hint("shuffle_merge"), ["token", "band"]).where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
         links = self.compare(pairs, prefixes)
@@ -187,7 +205,8 @@ class JaccardJoin:
 
         named = prefixes.join(parts.select(F.col("node").alias("rep"), "component").hint("shuffle_merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         big = parts.groupBy("component").agg(F.count("*").alias("size"))
-        sized = named.join(big.hint("shuffle_merge"), "component", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+        # Groups of one chunk need no number of members: only those beyond it are looked up, by a key spread over SALTS copies.
+        sized = lookup_join(named, stored(big.where(f"size > {CHUNK}")), ["component"], F.col("rep"), "left").withColumn("size", F.coalesce("size", F.lit(1)))
         chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / CHUNK)).cast("int")
         members = stored(sized.withColumn("chunk", chunk).select("rep", "n", "prefix", "component", "size", "chunk"))
         # The first shared shingle of a linked pair has all the others it needs after it in both prefixes: its slack.
@@ -195,9 +214,7 @@ class JaccardJoin:
         rows = rows.withColumn("slack", F.col("p") - F.col("pos")).drop("p", "pos")
         open_tokens = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
         rows = stored(rows.join(open_tokens.hint("shuffle_merge"), "token"))  # far fewer than the prefixes hold
-        spans = members.groupBy(F.col("component").alias("g"), F.col("chunk").alias("gc")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-        matrix = rows.groupBy("token", F.col("component").alias("g"), F.col("chunk").alias("gc"), F.col("size").alias("gs")).agg(F.max("slack").alias("room"))
-        matrix = matrix.join(spans.hint("shuffle_merge"), ["g", "gc"])
+        matrix = rows.groupBy("token", F.col("component").alias("g"), F.col("chunk").alias("gc"), F.col("size").alias("gs")).agg(F.max("slack").alias("room"), F.min("n").alias("lo"), F.max("n").alias("hi"))
         low = f"greatest(lo, ({self.num} * n + {self.den - 1}) div {self.den})"
         high = f"least(hi, ({self.den} * n) div {self.num})"
         least = self.least_need("n", low, high)
@@ -206,16 +223,43 @@ class JaccardJoin:
         asked = asked.where(f"{self.num} * lo <= {self.den} * n and {self.num} * n <= {self.den} * hi and least(slack, room) >= {least}")
         met = asked.select("rep", "g", "gc").distinct()
         unions = members.groupBy(F.col("component").alias("g"), F.col("chunk").alias("gc")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("union"))
-        met = met.join(unions.hint("shuffle_merge"), ["g", "gc"]).join(prefixes.hint("shuffle_merge"), "rep")
+        # A class carries its short prefix to the group; the union stays where it was made.
+        met = met.join(prefixes.hint("shuffle_merge"), "rep").join(unions.hint("shuffle_merge"), ["g", "gc"])
         opened = met.where(f"size(array_intersect(prefix, union)) >= {least}").select("rep", "g", "gc")
         inside = members.select(F.col("rep").alias("b"), F.col("component").alias("g"), F.col("chunk").alias("gc"))
         more = opened.join(inside.hint("shuffle_merge"), ["g", "gc"]).select(F.col("rep").alias("a"), "b").distinct()
         late = self.compare(more, prefixes)
-        every = links.unionAll(late)
-        final = connected_components(every) if late.limit(1).count() else parts
-        out = per_doc.join(classes.hint("shuffle_merge"), ["n", "a", "b"], "left").select("doc_id", "n", "rep")
-        out = out.join(final.select(F.col("node").alias("rep"), "component").hint("shuffle_merge"), "rep", "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+        final = parts
+        if late.limit(1).count():
+            final = stored(connected_components(links.unionAll(late)))
+        for used in (prefixes, members, rows, links, late):
+            drop_stored(used)
+        return per_doc, final.select(F.col("node").alias("set_id"), "component")
+
+    def link(self) -> DataFrame:
+        """doc_id, n_shingles, component_id of every document."""
+        per_doc, parts = self.groups()
+        mine = per_doc.where("n > 0 and doc_id is not null")
+        sets = mine.groupBy("set_id").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        sets = stored(sets.join(parts.hint("shuffle_merge"), "set_id", "left"))
+        # Sets of one doc_id belong together, whatever their components.
+        several = stored(mine.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y"))
+        repeated = several.limit(1).count() > 0
+        if repeated:
+            ties = mine.join(several.hint("shuffle_merge"), "doc_id").select(F.col("x").alias("a"), F.col("set_id").alias("b"))
+            stars = sets.where("component is not null").select(F.col("component").alias("a"), F.col("set_id").alias("b"))
+            joined = connected_components(ties.unionAll(stars)).select(F.col("node").alias("set_id"), "component")
+            sets = stored(sets.drop("component").join(joined.hint("shuffle_merge"), "set_id", "left"))
+        # A set of one document and no link needs no lookup. The others' names are spread, since a third of all rows may share one.
+        sets = sets.where("low <> high or component is not null").withColumn("component", F.coalesce("component", "set_id"))
+        least = stored(sets.groupBy("component").agg(F.min("low").alias("component_id")))
+        named = stored(lookup_join(sets.select("set_id", "component"), least, ["component"], F.col("set_id")).select("set_id", "component_id"))
+        out = lookup_join(per_doc, named, ["set_id"], F.xxhash64("doc_id"), "left")
+        if repeated:
+            # A row without words takes the component of its doc_id's other rows.
+            whole = out.join(several.select("doc_id").hint("shuffle_merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("c"))
+            out = out.join(whole.hint("shuffle_merge"), "doc_id", "left").withColumn("component_id", F.coalesce("c", "component_id"))
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

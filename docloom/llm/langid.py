@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.bytes_util import pieces, sums
-from docloom.llm.common import lookup_join, map_texts, stored
+from docloom.llm.common import lean, lookup_join, map_texts, stored
 
 SAMPLE_DOCS, SAMPLE_BYTES, MAX_CONTEXTS = 1000, 1 << 16, 40_000
 #: Bytes of text that count as full evidence for a score near 1.
@@ -129,7 +129,7 @@ def train(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text
                     w, n = np.unique(np.concatenate([window[a - 3 : b - 3] for a, b, o in zip(starts, ends, owner) if o == name]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(w)), pa.array(w.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    found = slim.select("lang", "text").mapInArrow(tally, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    found = slim.select("lang", "text").mapInArrow(lean(tally), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(found):
         return None
     return build_model({k: (g["gram"].to_numpy(), g["n"].to_numpy()) for k, g in found.sort_values(["lang", "gram"]).groupby("lang")})

@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import drop_stored, scratch_dir, stored
+from docloom.llm.common import bounded_batches, drop_stored, lean, scratch_dir, stored
 
 BLOCK_IDS = 1 << 18
 CHECKPOINT = 256
 MAX_LENGTH = 18
 #: Pieces of text whose ids a Python worker remembers, and the longest of them in characters.
-MEMO_PIECES, MEMO_CHARS = 1_000_000, 48
+MEMO_PIECES, MEMO_CHARS = 400_000, 48
 
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
@@ -210,6 +210,7 @@ def _tokenise(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], It
                     docs, lens, parts, n = [], [], [], 0
         if docs:
             yield packed()
+        enc.memo.clear()
 
     return run
 
@@ -229,7 +230,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     ranged = keyed.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie, "text")
-    raw = stored(ranged.mapInArrow(_tokenise(tokenizer, end_id), _RAW))
+    with bounded_batches(spark):
+        raw = stored(ranged.mapInArrow(lean(_tokenise(tokenizer, end_id)), _RAW))
 
     def tally(batches):
         total = np.zeros(vocab, np.int64)
@@ -239,7 +241,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    found = raw.select("ids").mapInArrow(tally, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
+    found = raw.select("ids").mapInArrow(lean(tally), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
     lengths = code_lengths(found["n"].to_numpy(), max(max_length, int(np.ceil(np.log2(max(2, len(found)))))))
     book = (found["id"].to_numpy(np.int64), lengths)
     spark.createDataFrame([(int(i), int(n)) for i, n in zip(*book)], "id int, length int").coalesce(1).write.parquet(f"{path}/codebook")
@@ -254,7 +256,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
                 yield pa.RecordBatch.from_arrays([*row.columns[:-1], pa.array([bits], pa.binary()), pa.array([marks.astype("<u4").tobytes()], pa.binary())], [*row.schema.names[:-1], "payload", "checkpoints"])
 
     schema = _RAW.replace("ids binary", "payload binary, checkpoints binary")
-    raw.mapInArrow(pack, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    raw.mapInArrow(lean(pack), schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     drop_stored(raw)
     shards = spark.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
@@ -292,7 +294,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return blocks.join(F.broadcast(shards), "shard").mapInArrow(unpack, schema)
+    return blocks.join(F.broadcast(shards), "shard").mapInArrow(lean(unpack), schema)
 
 
 def default_tokenizer() -> str:

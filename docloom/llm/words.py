@@ -94,7 +94,8 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if b - a >= width:
-            out.append(np.unique(runs[a : b - width + 1]))
+            own = np.sort(runs[a : b - width + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         elif b > a:
             short = sum(int(mix(words[j : j + 1] + np.uint64(j - a))[0]) * int(factors[j - a]) for j in range(a, b)) + b - a
             out.append(mix(np.array([short & _MASK], np.uint64)))

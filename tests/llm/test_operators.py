@@ -58,7 +58,7 @@ def test_components(spark):
 
 def test_id_filter(spark):
     ids = spark.range(0, 5000, 7).select("id")
-    bits = common.id_filter(ids).value
+    bits = common.id_filter(ids)
     assert common.passes(bits, np.arange(0, 5000, 7)).all() and common.passes(bits, np.arange(10**6, 10**6 + 5000)).mean() < 0.01
 
 
