@@ -7,7 +7,7 @@ import uuid
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A lookup table of at most this many rows may be broadcast; a larger one is joined by a salted shuffle.
@@ -81,6 +81,32 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], spread: Column
     )
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with a new column: their number from 0, without gaps, in the given order; stored.
+
+    Ranges of the order are numbered side by side, then each begins where the ones before it end: one small row a task is gathered.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    schema = StructType([*rows.schema.fields, StructField("__range", LongType()), StructField(name, LongType())])
+
+    def count(batches):
+        from pyspark import TaskContext
+
+        task, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            k = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(k, task)), pa.array(np.arange(n, n + k))], schema.names)
+            n += k
+
+    made = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(count), schema))
+    sizes = made.groupBy("__range").agg(F.count("*").alias("n"))
+    before = stored(sizes.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before")))
+    return made.join(F.broadcast(before), "__range").withColumn(name, F.col(name) + F.col("__before")).select(*rows.columns, name)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges(a, b) -> (node, component): the smallest node that each node reaches. Nodes without edges are absent.
 

@@ -9,6 +9,7 @@ shingles, and sets of them (`set_id`), are known by 64-bit hashes.
    only a matter of speed, so a bounded list of those seen repeatedly in one task serves.
 3. Leaders: in every bucket of a prefix shingle and a band of sizes, all members are compared with the smallest one. Links partition
    the classes into groups of similar documents, however large, with a number of comparisons that is linear in the bucket.
+   Where a bucket then still holds several groups, they meet one more leader, another one in each bucket.
 4. Token-group matrix: each group, in chunks of about CHUNK members, stores the union of its members' prefixes, as (token, group) rows
    too. A class meets the groups of other components there, at a token that leaves room for all the others they need; the number of its
    tokens in a group's union then bounds its overlap with any member, and only groups that reach the bound are opened: their
@@ -170,6 +171,19 @@ class JaccardJoin:
             drop_stored(used)
         return links
 
+    @staticmethod
+    def _members(prefixes: DataFrame, parts: DataFrame) -> DataFrame:
+        """prefixes with the component of each class, the component's size and the class's chunk of it, stored."""
+        named = prefixes.join(parts.select(F.col("node").alias("rep"), "component").hint("shuffle_merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        big = parts.groupBy("component").agg(F.count("*").alias("size"))
+        sized = lookup_join(named, stored(big), ["component"], F.col("rep"), "left").withColumn("size", F.coalesce("size", F.lit(1)))
+        chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / CHUNK)).cast("int")
+        return stored(sized.withColumn("chunk", chunk).select("rep", "n", "prefix", "component", "size", "chunk"))
+
+    @staticmethod
+    def _open(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+
     def groups(self) -> tuple[DataFrame, DataFrame]:
         """(doc_id, n, set_id) of every row, stored, and (set_id, component) of all sets that link with another; a component is its smallest set_id."""
         with bounded_batches(self.docs.sparkSession):
@@ -203,17 +217,24 @@ class JaccardJoin:
         links = self.compare(pairs, prefixes)
         parts = stored(connected_components(links))
 
-        named = prefixes.join(parts.select(F.col("node").alias("rep"), "component").hint("shuffle_merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        big = parts.groupBy("component").agg(F.count("*").alias("size"))
-        # Groups of one chunk need no number of members: only those beyond it are looked up, by a key spread over SALTS copies.
-        sized = lookup_join(named, stored(big.where(f"size > {CHUNK}")), ["component"], F.col("rep"), "left").withColumn("size", F.coalesce("size", F.lit(1)))
-        chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / CHUNK)).cast("int")
-        members = stored(sized.withColumn("chunk", chunk).select("rep", "n", "prefix", "component", "size", "chunk"))
+        members = self._members(prefixes, parts)
         # The first shared shingle of a linked pair has all the others it needs after it in both prefixes: its slack.
         rows = members.select("rep", "n", "component", "size", "chunk", F.size("prefix").alias("p"), F.posexplode("prefix").alias("pos", "token"))
         rows = rows.withColumn("slack", F.col("p") - F.col("pos")).drop("p", "pos")
-        open_tokens = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-        rows = stored(rows.join(open_tokens.hint("shuffle_merge"), "token"))  # far fewer than the prefixes hold
+        # Far fewer than the prefixes hold: tokens that several components share.
+        rows = stored(rows.join(self._open(rows).hint("shuffle_merge"), "token"))
+        # A second leader, another one in each bucket: whatever links with it needn't meet the groups.
+        second = rows.withColumn("band", band).groupBy("token", "band").agg(F.min_by("rep", F.xxhash64("token", "rep")).alias("a"), F.min_by("component", F.xxhash64("token", "rep")).alias("c"), F.min("component").alias("x"), F.max("component").alias("y"))
+        second = second.where("x <> y").select("token", "band", "a", "c")
+        pairs = rows.withColumn("band", band).join(second.hint("shuffle_merge"), ["token", "band"]).where("component <> c").select("a", F.col("rep").alias("b")).distinct()
+        again = self.compare(pairs, prefixes)
+        if again.limit(1).count():
+            links = stored(links.unionAll(again))
+            parts = stored(connected_components(links))
+            drop_stored(members)
+            members = self._members(prefixes, parts)
+            rows = rows.drop("component", "size", "chunk").join(members.select("rep", "component", "size", "chunk").hint("shuffle_merge"), "rep")
+            rows = stored(rows.join(self._open(rows).hint("shuffle_merge"), "token"))
         matrix = rows.groupBy("token", F.col("component").alias("g"), F.col("chunk").alias("gc"), F.col("size").alias("gs")).agg(F.max("slack").alias("room"), F.min("n").alias("lo"), F.max("n").alias("hi"))
         low = f"greatest(lo, ({self.num} * n + {self.den - 1}) div {self.den})"
         high = f"least(hi, ({self.den} * n) div {self.num})"

@@ -26,7 +26,8 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP)) | np.uint64(1
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers (at least) of a fixed odd number modulo 2^64, and of its inverse: hashes of stretches are differences of weighted sums."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, PIECE + (1 << 16))
         inverse = pow(_STEP, -1, 1 << 64)
@@ -41,7 +42,7 @@ def _hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[data]
     edges = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-    up, down = _power_tables(len(data) + 1)
+    up, down = power_tables(len(data) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[_LOWER[data]] * up[: len(data)], dtype=np.uint64)])
     return starts, mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 

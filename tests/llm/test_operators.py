@@ -268,25 +268,103 @@ def test_jaccard_odd(odd, none):
 # --- op7
 
 
-@given(st.text(alphabet="ab", max_size=14), st.text(alphabet="ab", max_size=14), st.integers(1, 3))
-@settings(max_examples=300, deadline=None)
-def test_banded_distance(a, b, tau):
+def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
         row = new
-    assert line_dedup.within(a, b, tau) == (row[-1] <= tau)
-    s, l = sorted((a, b), key=len)
-    if row[-1] <= tau < len(s):
-        assert set(line_dedup.keys(s, tau)[0]) & set(line_dedup.keys(l, tau)[1])
+    return row[-1]
+
+
+def linked(a, b):
+    return abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= line_dedup.edits(min(len(a), len(b)))
+
+
+@given(st.text(alphabet="ab", max_size=14), st.text(alphabet="ab", max_size=14), st.integers(1, 3))
+@settings(max_examples=300, deadline=None)
+def test_banded_distance(a, b, tau):
+    assert line_dedup.within(a, b, tau) == (edit_distance(a, b) <= tau)
+
+
+@given(st.text(alphabet="ab", min_size=9, max_size=32), st.lists(st.tuples(st.integers(0, 40), st.sampled_from("abc-")), max_size=2))
+@settings(max_examples=400, deadline=None)
+def test_linked_lines_share_a_key(a, changes):
+    b = list(a)
+    for at, c in changes:
+        b[at % len(b) : at % len(b) + (at % 2)] = [] if c == "-" else [c]
+        b = b or ["c"]
+    a, b = sorted((a, "".join(b)), key=len)
+    found = line_dedup.Lines([a, b])
+    assert found.sizes.tolist() == [len(a), len(b)] and found.spelled(1) == b
+    if a != b and linked(a, b):
+        own, more = (list(zip(*(x.tolist() for x in found.keys(np.array([k]))))) for k in (0, 1))
+        held = {k for k, who in own if not who & 1}
+        assert held & {k for k, _ in more}
+
+
+@given(st.lists(st.none() | st.text(alphabet="aé \n\t\x1c\u2003\U0001f600", max_size=12), max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_lines_are_cut_like_strings(texts):
+    some = [t for t in texts if t is not None]
+    found = line_dedup.Lines(some) if some else None
+    plain = [line_dedup.lines_of(t) for t in some]
+    assert (found.counts if some else []) == [len(p) for p in plain]
+    flat = [x for p in plain for x in p]
+    if some:
+        assert [found.spelled(k) for k in range(len(flat))] == flat and [i == 0 for i in found.ids] == [x == "" for x in flat]
+        assert len(set(zip(flat, found.ids.tolist()))) == len(set(flat)) == len(set(found.ids.tolist()))
+
+
+def brute_lines(texts):
+    """texts: (order key, text) in order -> for each: kept numbers, links, lines' classes as sets of lines."""
+    every = sorted({x for _, t in texts for x in line_dedup.lines_of(t) if x})
+    near = {x: {y for y in every if y != x and linked(x, y)} for x in every}
+    part = {}
+    for x in every:
+        seen, todo = {x}, [x]
+        while todo:
+            todo = [z for y in todo for z in near[y] if z not in seen and not seen.add(z)]
+        part[x] = frozenset(seen)
+    first, out = set(), []
+    for _, t in texts:
+        kept, links, classes = [], 0, []
+        for k, x in enumerate(line_dedup.lines_of(t)):
+            if not x or part[x] not in first:
+                kept.append(k)
+            if x:
+                first.add(part[x])
+                links += len(near[x])
+            classes.append(part.get(x))
+        out.append((len(classes), kept, links, classes))
+    return out
+
+
+def same_lines(spark, rows):
+    """kept_lines against brute force; rows of (doc_id, text)."""
+    docs = make_docs(spark, [(i, t, "en", "a") for i, t in rows])
+    tie = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, tie[r[1]]))
+    want = [(i, n, kept, links) for (i, _), (n, kept, links, _) in zip(ordered, brute_lines(ordered))]
+    got = line_dedup.kept_lines(docs).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:]))
+    assert sorted(((r.doc_id, r.n_lines, r.kept, r.n_links) for r in got), key=key) == sorted(want, key=key)
+    names, brute = {}, {}
+    for r in got:
+        for c in r.classes:
+            names.setdefault(c, 0)
+    for _, t in rows:
+        for x in line_dedup.lines_of(t):
+            brute[x] = 1
+    assert len(names) == len({c for _, _, _, cs in brute_lines(ordered) for c in cs})
+    return docs, ordered
 
 
 def test_line_dedup_is_exact(spark):
     rng = random.Random(8)
-    base = [prose(k, 7) for k in range(15)] + ["short one"]
-    texts = []
+    base = [prose(k, 7) for k in range(15)] + ["short one", "twelve chars", "nineteen characters"]
+    rows = []
     for i in range(80):
         lines = []
         for _ in range(6):
@@ -295,35 +373,16 @@ def test_line_dedup_is_exact(spark):
                 k = rng.randrange(len(line))
                 line[k : k + 1] = rng.choice([[], ["q"], [line[k], "z"]])
             lines.append("".join(line))
-        texts.append("\n".join([*lines, "", " "]))
-    docs = make_docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)] + [(500, None, "en", "a"), (None, "x\nx", "en", "a")])
-    got = {r.doc_id: (r.n_lines, r.kept) for r in line_dedup.kept_lines(docs).collect()}
-    occ = [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate(line_dedup.lines_of(t))]
-    kinds = sorted({x for _, _, x in occ if x})
-    part, degree = {x: x for x in kinds}, Counter()
+        rows.append((i % 70, "\n".join([*lines, "", " "])))
+    rows += [(500, None), (None, "x\nx"), (None, base[3] + "!\nx"), (501, ""), rows[5], rows[5]]
+    docs, ordered = same_lines(spark, rows)
+    out = Counter((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect())
+    want = Counter((i, None if t is None else "\n".join(line_dedup.lines_of(t)[k] for k in kept)) for (i, t), (_, kept, _, _) in zip(ordered, brute_lines(ordered)))
+    assert out == want
 
-    def root(x):
-        while part[x] != x:
-            x = part[x]
-        return x
 
-    for a in kinds:
-        for b in kinds:
-            if a < b and min(len(a), len(b)) >= line_dedup.MIN_CHARS and line_dedup.within(a, b):
-                part[root(a)] = root(b)
-                degree.update((a, b))
-    first = {}
-    for i, k, x in occ:
-        if x:
-            first.setdefault(root(x), (i, k))
-    kept = {i: [k for j, k, x in occ if j == i and (not x or first[root(x)] == (i, k))] for i in range(len(texts))}
-    assert got == {i: (8, kept[i]) for i in kept} | {500: (0, [])} and sum(degree.values()) > 100
-    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
-    assert out[None] == "x\nx" and out[3] == "\n".join(line_dedup.lines_of(texts[3])[k] for k in kept[3])
-
-
-def test_line_dedup_links_and_classes(spark, monkeypatch):
-    """Links inside a class of a bucket with more than SMALL pairs, dealt out in several blocks, and the classes of all lines."""
+def test_line_dedup_in_blocks(spark, monkeypatch):
+    """Links inside a class of a bucket with more than SMALL pairs, dealt out in several blocks."""
     monkeypatch.setattr(line_dedup, "BLOCK", 100)
     rng = random.Random(5)
     base, kinds = prose(77, 6), []
@@ -332,25 +391,11 @@ def test_line_dedup_links_and_classes(spark, monkeypatch):
         for k in rng.sample(range(len(line)), rng.randint(0, 2)):
             line[k] = rng.choice("0123456789")
         kinds.append("".join(line))
-    texts = ["\n".join([kinds[i], "", kinds[(7 * i) % 40], "alone " + prose(i, 8)]) for i in range(40)]
-    got = {r.doc_id: r for r in line_dedup.kept_lines(make_docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
-    every = sorted({x for t in texts for x in t.split("\n") if x})
-    near = {x: {y for y in every if y != x and line_dedup.within(x, y)} for x in every}
-    reach = {}
-    for x in every:
-        seen, todo = {x}, [x]
-        while todo:
-            todo = [z for y in todo for z in near[y] if z not in seen and not seen.add(z)]
-        reach[x] = min(map(line_dedup.line_id, seen))
-    for i, t in enumerate(texts):
-        lines = [(k, x) for k, x in enumerate(t.split("\n")) if x]
-        assert got[i].n_links == sum(len(near[x]) for _, x in lines)
-        assert [tuple(c) for c in got[i].classes] == [(k, reach[x]) for k, x in lines]
-    assert sum(map(len, near.values())) > 2 * line_dedup.SMALL
+    same_lines(spark, [(i, "\n".join([kinds[i], "", kinds[(7 * i) % 40], "alone " + prose(i, 8)])) for i in range(40)])
 
 
 def test_line_dedup_odd(odd, none):
-    assert line_dedup.kept_lines(odd).count() == 8 and line_dedup.kept_lines(none).count() == 0
+    assert line_dedup.kept_lines(odd).count() == 10 and line_dedup.kept_lines(none).count() == 0
 
 
 # --- op8
