@@ -70,13 +70,13 @@ def normalize_amount(c: Column | str) -> Column:
 
 def parse_amount(c: Column | str, dot3_thousands: bool = False) -> Column:
     """DECIMAL(18,2) of an amount; not positive or not a number gives null. dot3_thousands reads 1.234 as 1234."""
-    s = F.regexp_replace(F.trim(F.translate(_col(c), "€Ç", "")), r"(?i)^euro\s*|\s+", "")
+    s = F.regexp_replace(F.trim(F.translate(_col(c), "€Ç", "")), r"(?i)^euro?\b\s*|\s+", "")
     s = F.regexp_replace(s, r"^\.+|[.,;:]+$", "")
 
     def read(x: Column) -> Column:
         no_dots = F.replace(x, F.lit("."), F.lit(""))
         thousands = r"\..*\." + (r"|^\d{1,3}\.\d{3}$" if dot3_thousands else "")
-        plain = F.when(x.rlike(r"\..*,|,.*\."), F.replace(no_dots, F.lit(","), F.lit("."))).when(x.contains(","), F.replace(x, F.lit(","), F.lit("."))).when(x.rlike(thousands), no_dots).otherwise(x)
+        plain = F.when(x.rlike(r"^\d{1,3}(?:,\d{3})+\.\d{1,2}$"), F.replace(x, F.lit(","), F.lit(""))).when(x.rlike(r"\..*,|,.*\."), F.replace(no_dots, F.lit(","), F.lit("."))).when(x.contains(","), F.replace(x, F.lit(","), F.lit("."))).when(x.rlike(thousands), no_dots).otherwise(x)
         return let(plain.try_cast("decimal(18,2)"), lambda v: F.when(v > 0, v))
 
     return let(s, read)
@@ -90,9 +90,11 @@ def parse_numeric(c: Column | str) -> Column:
 
 
 def find_amounts(c: Column | str) -> Column:
-    """All amounts above 1 next to a currency sign or word, in order."""
-    before = F.regexp_extract_all(_col(c), F.lit(r"(?i)(?:€|Ç|euro)\s*\.?\s*([\d.,]+)"), 1)
-    return F.filter(F.transform(before, lambda x: parse_amount(x)), lambda v: v > 1)
+    """All amounts above 1 that follow or precede a currency sign or word, in order."""
+    either = r"(?i)(?:€|Ç|\beuro\b)\s*\.?\s*(\d[\d.,]*)|(\d[\d.,]*)\s*(?:€|\beuro\b)"
+    after, before = (F.regexp_extract_all(_col(c), F.lit(either), k) for k in (1, 2))
+    found = F.zip_with(after, before, lambda x, y: F.when(x != "", x).otherwise(y))
+    return F.filter(F.transform(found, lambda x: parse_amount(x)), lambda v: v > 1)
 
 
 def format_amount(value: Column | str) -> Column:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.scalars import compare_key
+
 #: Days that count as recent, least accuracy, and the change that counts as a trend.
 RECENT_DAYS, LEAST_ACCURACY, TREND = 30, 0.7, 0.05
 # Weights of methods in a vote.
-METHOD_WEIGHTS = {"manual": 1.0, "rules": 0.85, "auto_rule": 0.8, "smart_pattern": 0.75, "similar": 0.6, "ml": 0.5}
+METHOD_WEIGHTS = {"rules": 0.7, "ml": 0.6, "learned_pattern": 0.65, "auto_rule": 0.55, "similar_doc": 0.5, "corrected": 1.0}
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -96,11 +98,12 @@ def vote(candidates: DataFrame) -> DataFrame:
     winner the most confident candidate, its confidence raised to 0.98 at most. A single candidate stays as it is."""
     weights = F.create_map(*[F.lit(x) for kv in METHOD_WEIGHTS.items() for x in kv])
     scored = candidates.withColumn("w", F.col("confidence") * F.coalesce(F.try_element_at(weights, F.col("method")), F.lit(0.5)))
-    groups = scored.groupBy("doc_id", "field", "value").agg(F.sum("w").alias("total"), F.count("*").alias("n"), F.max(F.struct("confidence", "method")).alias("best"))
-    order = Window.partitionBy("doc_id", "field").orderBy(F.desc(F.round(F.col("total") * (1 + 0.15 * (F.col("n") - 1)), 9)), "value")
+    key = compare_key(F.col("value").cast("string"))
+    groups = scored.groupBy("doc_id", "field", key.alias("key")).agg(F.sum("w").alias("total"), F.count("*").alias("n"), F.max(F.struct("confidence", "method", "value")).alias("best"))
+    order = Window.partitionBy("doc_id", "field").orderBy(F.desc(F.round(F.col("total") * (1 + 0.15 * (F.col("n") - 1)), 9)), "best.value")
     top = groups.withColumn("r", F.row_number().over(order)).where("r = 1")
     conf = F.when(F.col("n") == 1, F.col("best.confidence")).otherwise(F.least(F.lit(0.98), F.col("best.confidence") * (1 + 0.1 * (F.col("n") - 1))))
-    return top.select("doc_id", "field", "value", F.round(conf, 6).alias("confidence"), F.col("best.method").alias("method"))
+    return top.select("doc_id", "field", F.col("best.value").alias("value"), F.round(conf, 6).alias("confidence"), F.col("best.method").alias("method"))
 
 
 def running_statistics(log: DataFrame) -> DataFrame:

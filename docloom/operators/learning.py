@@ -49,7 +49,7 @@ def fill_blanks(extractions: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 # Quality of a training example by its source.
-SOURCE_QUALITY = {"manual_correction": 1.0, "validated": 0.9, "rules_confident": 0.8, "rules": 0.6, "ml_prediction": 0.4}
+SOURCE_QUALITY = {"correction": 1.0, "manual": 0.95, "approved": 0.90, "rules_validated": 0.60, "rules_raw": 0.35, "auto": 0.20}
 
 
 def example_quality(source: Column, text_length: Column) -> Column:

@@ -101,7 +101,10 @@ def wide(docs: DataFrame, rules: list[Rule] = BUILTIN, id_col: str = "doc_id", t
 
 def valid(value: Column, validator: Column) -> Column:
     """Whether a value fits its validator."""
-    number = F.regexp_replace(F.regexp_replace(value, r"[€\s]", ""), ",", ".").try_cast("double")
+    plain = F.regexp_replace(value, r"[€\s\x{a0}]", "")
+    # Dots are thousands before a comma or in groups of three.
+    dots = plain.contains(",") | plain.rlike(r"^\d{1,3}(?:\.\d{3})+$")
+    number = F.regexp_replace(F.when(dots, F.regexp_replace(plain, r"\.", "")).otherwise(plain), ",", ".").try_cast("double")
     return (
         F.when(validator == "cig", value.rlike(r"^[A-Z0-9]{10}$"))
         .when(validator == "cup", value.rlike(r"^[A-Z][0-9]{2}[A-Z][0-9]{8}$"))
@@ -109,6 +112,7 @@ def valid(value: Column, validator: Column) -> Column:
         .when(validator == "nuts", value.rlike(r"(?i)^IT[A-Z0-9]{1,3}$"))
         .when(validator == "importi", F.coalesce((number > 0) & (number < 5e10), F.lit(False)))
         .when(validator == "punteggi", F.coalesce(value.try_cast("int").between(0, 100), F.lit(False)))
+        .when(validator == "number", number.isNotNull())
         .when(validator == "date", value.rlike(r"^\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}"))
         .when(validator == "boolean", F.lower(value).isin("true", "false"))
         .otherwise(F.length(F.trim(value)).between(3, 2000))

@@ -68,8 +68,8 @@ def merge_continuations(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def lot_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = 2000) -> DataFrame:
-    """The text from each line `Lotto n` to the next one."""
-    parts = F.slice(F.split(F.concat(F.lit("\n"), F.col(text_col)), r"(?i)\n\s*(?=Lotto\s+\d+\b)"), 2, 1 << 30)
+    """The text from each `Lotto n`, wherever it stands, to the next one."""
+    parts = F.filter(F.split(F.col(text_col), r"(?i)(?=\bLotto\s+\d+\b)"), lambda x: x.rlike(r"(?i)^Lotto\s+\d+\b"))
     out = docs.select(id_col, F.explode(parts).alias("segment"))
     return out.select(id_col, F.regexp_extract("segment", r"(?i)^Lotto\s+(\d+)", 1).cast("int").alias("lot"), F.substring("segment", 1, cap).alias("segment"))
 

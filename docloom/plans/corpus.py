@@ -31,7 +31,7 @@ def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def learn_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns learned from the values found in tenders, applied to the texts: how many values each field gets back right."""
     docs = render_tenders(spark, sf_dir)
-    known = rules.apply_rules(docs).where("field in ('cig', 'cpv', 'scadenza_offerte')").select("doc_id", "field", "value")
+    known = rules.apply_rules(docs, [r for r in rules.BUILTIN if r.field in ("cig", "cpv", "scadenza_offerte")]).select("doc_id", "field", "value")
     taught = L.contexts(docs, known)
     found = L.apply_patterns(docs, L.learned_patterns(taught, 4))
     both = found.withColumnRenamed("value", "found").join(known.hint("shuffle_merge"), ["doc_id", "field"])
@@ -40,17 +40,17 @@ def learn_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prefix_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = render_tenders(spark, sf_dir)
-    known = rules.apply_rules(docs).where("field in ('punteggio_tecnica', 'scadenza_offerte')").select("doc_id", "field", "value")
-    return L.prefix_clusters(L.contexts(docs, known)).where("field = 'scadenza_offerte' and n > 100").select("field", "key", "n")
+    known = rules.apply_rules(docs, [r for r in rules.BUILTIN if r.field == "scadenza_offerte"]).select("doc_id", "field", "value")
+    return L.prefix_clusters(L.contexts(docs, known)).select("field", "key", "n")
 
 
 def training_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Examples from tenders with their quality."""
     docs = render_tenders(spark, sf_dir)
     found = rules.validate_fields(rules.apply_rules(docs))
-    source = F.when(F.col("valid"), "validated").otherwise("rules")
-    scored = found.where("snippet is not null").select("field", source.alias("source"), L.example_quality(source, F.length("snippet")).alias("quality"))
-    return scored.groupBy("field", "source").agg(F.count("*").alias("n"))
+    source = F.when(F.col("valid"), "rules_validated").otherwise("rules_raw")
+    scored = found.select("field", source.alias("source"), L.example_quality(source, F.lit(0)).alias("quality"))
+    return scored.groupBy("field", "source").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("quality"))
 
 
 def classify_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +75,9 @@ QUERIES = {
     "admission": lambda s, d: C.admit(_docs(s, d)).select("doc_id", C.content_hash(F.col("text")).alias("text_hash")),
     "clean_text": lambda s, d: _docs(s, d).select("doc_id", C.content_hash(S.clean_string("text")).alias("cleaned")),
     "normalize_amount": lambda s, d: _shapes(s, d).select("o_orderkey", S.normalize_amount("shown").alias("canonical")),
-    "parse_amount": lambda s, d: _shapes(s, d).where("o_orderkey % 3 <> 1").select("o_orderkey", S.parse_amount("shown").alias("total")),
+    "parse_amount": lambda s, d: _shapes(s, d).select("o_orderkey", S.parse_amount("shown").alias("total")),
     "find_amounts": lambda s, d: render_tenders(s, d).select("doc_id", F.size(S.find_amounts("text")).alias("n"), F.array_max(S.find_amounts("text")).alias("most")),
-    "value_context": lambda s, d: _docs(s, d).where(F.instr(F.lower("text"), "licensed under") > 0).select("doc_id", S.value_context("text", F.lit("licensed under"), 30).alias("context")).where("context <> ''"),
+    "value_context": lambda s, d: _docs(s, d).select("doc_id", S.value_context("text", F.lit("licensed under"), 30).alias("context")),
     "top_terms": lambda s, d: C.top_terms(_docs(s, d), 10),
     "doc_similarity": lambda s, d: C.similar_documents(_docs(s, d)),
     "similar_top5": lambda s, d: C.most_similar(C.similar_documents(_docs(s, d))).select("doc_id", "rank", "other", "score"),
@@ -88,7 +88,7 @@ QUERIES = {
     "training_harvest": training_harvest,
     "classify_quality": classify_quality,
     "stream_stats": lambda s, d: stream.drained(stream.running_field_stats(stream.read_events(s, d)), "complete"),
-    "stream_windows": lambda s, d: stream.drained(stream.correction_windows(stream.read_events(s, d), late="0 seconds"), "complete").select(F.col("window.start").alias("day"), "n", "n_wrong"),
+    "stream_windows": lambda s, d: stream.drained(stream.correction_windows(stream.read_events(s, d)), "append").select(F.col("window.start").alias("day"), "n", "n_wrong"),
     "stream_dedup": lambda s, d: stream.drained(stream.distinct_documents(stream.read_events(s, d)), "append").groupBy("event_type").agg(F.count("*").alias("n")),
     "stream_counter": lambda s, d: stream.drained(stream.correction_counter(stream.read_events(s, d)), "append").groupBy("field").agg(F.max("n_corrections").alias("n_corrections"), F.max("n_signals").alias("n_signals")),
 }
@@ -108,11 +108,11 @@ ORACLE_SQL = {
     "admission": "SELECT doc_id, sha256(text) AS text_hash FROM documents WHERE length(text) >= 20",
     "clean_text": r"SELECT doc_id, sha256(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[,;:\s]+$', '')) AS cleaned FROM documents",
     "normalize_amount": f"SELECT o_orderkey, '€ ' || {_IT} AS canonical FROM orders",
-    "parse_amount": "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS total FROM orders WHERE o_orderkey % 3 <> 1",
+    "parse_amount": "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS total FROM orders",
     "find_amounts": """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS a FROM lineitem GROUP BY ALL),
 s AS (SELECT k, count(*) FILTER (WHERE a > 1) AS n, max(a) AS m FROM l GROUP BY k)
 SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CAST(coalesce(n, 0) + 1 AS INTEGER) AS n, greatest(CAST(o_totalprice AS DECIMAL(18,2)), coalesce(m, 0)) AS most FROM orders LEFT JOIN s ON k = o_orderkey""",
-    "value_context": "SELECT doc_id, trim(substr(text, greatest(1, p - 30), p + 14 + 30 - greatest(1, p - 30))) AS context FROM (SELECT doc_id, text, instr(lower(text), 'licensed under') AS p FROM documents) WHERE p > 0",
+    "value_context": "SELECT doc_id, CASE WHEN w IS NULL THEN '' ELSE trim(substr(text, greatest(1, instr(low, w) - 30), instr(low, w) + length(w) + 30 - greatest(1, instr(low, w) - 30))) END AS context FROM (SELECT doc_id, text, lower(text) AS low, CASE WHEN contains(lower(text), 'licensed under') THEN 'licensed under' WHEN contains(lower(text), 'licensed') THEN 'licensed' WHEN contains(lower(text), 'under') THEN 'under' END AS w FROM documents)",
     "top_terms": f"WITH {_TERMS} SELECT doc_id, term, n, rank FROM r WHERE rank <= 10",
     "doc_similarity": _PAIRS + " SELECT * FROM w WHERE score >= 0.15",
     "similar_top5": _PAIRS + ", both_ways AS (SELECT a AS doc_id, b AS other, score FROM w WHERE score >= 0.15 UNION ALL SELECT b, a, score FROM w WHERE score >= 0.15) SELECT * FROM (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other) AS INTEGER) AS rank, other, score FROM both_ways) WHERE rank <= 5",
@@ -122,9 +122,11 @@ UNION ALL SELECT doc_id, 'ipv4', len(regexp_extract_all(text, '\b[0-9]{1,3}\.[0-
 UNION ALL SELECT doc_id, 'licence', len(regexp_extract_all(text, '[Ll]icensed under')) FROM documents) SELECT * FROM x WHERE n > 0""",
     "turn_order": "SELECT conv_id, count(*) AS n_turns, arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id",
     "learn_patterns": "SELECT f AS field, count(*) AS n, count(*) AS n_right FROM orders, (SELECT unnest(['cig', 'cpv', 'scadenza_offerte']) AS f) GROUP BY f",
-    "prefix_clusters": "SELECT 'scadenza_offerte' AS field, 'scadenza presentazione offerte' AS key, count(*) AS n FROM orders",
+    "prefix_clusters": "SELECT 'scadenza_offerte' AS field, 'scadenza presentazione offerte' AS key, count(*) AS n FROM orders HAVING count(*) >= 3",
+    "training_harvest": """WITH o AS (SELECT o_orderkey AS k, o_totalprice AS total FROM orders), f AS (SELECT unnest(['cig','cup','cpv','stazione_appaltante','oggetto_appalto','tipo_procedura','importo_totale','punteggio_tecnica','punteggio_economica','scadenza_offerte','durata_mesi','pnrr','sopralluogo_obbligatorio']) AS field, k, total FROM o)
+SELECT field, 'rules_validated' AS source, count(*) AS n, CAST(0.6 AS DOUBLE) AS quality FROM f WHERE (field <> 'pnrr' OR k % 7 = 0) AND (field <> 'sopralluogo_obbligatorio' OR k % 5 = 0) AND (field <> 'importo_totale' OR total >= 100) GROUP BY field""",
     "stream_stats": "SELECT event_type AS field, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY 1",
-    "stream_windows": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n, count(*) FILTER (WHERE CAST(props->>'$.k' AS INTEGER) % 5 = 0) AS n_wrong FROM events GROUP BY 1",
+    "stream_windows": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n, count(*) FILTER (WHERE CAST(props->>'$.k' AS INTEGER) % 5 = 0) AS n_wrong FROM events GROUP BY 1 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
     "stream_dedup": "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1",
     "stream_counter": "SELECT event_type AS field, count(*) AS n_corrections, count(*) // 5 AS n_signals FROM events WHERE CAST(props->>'$.k' AS INTEGER) % 5 = 0 GROUP BY 1",
 }

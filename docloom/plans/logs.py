@@ -9,10 +9,10 @@ from docloom.operators import analytics as A
 from docloom.sources import logs as L
 
 _LOG = """
-log AS (SELECT event_id AS id, user_id AS doc_id, event_type AS field, value, ['rules','smart_pattern','auto_rule','ml'][event_id % 4 + 1] AS method,
+log AS (SELECT event_id AS id, user_id AS doc_id, event_type AS field, value, ['rules','learned_pattern','auto_rule','ml'][event_id % 4 + 1] AS method,
   (CAST(props->>'$.k' AS INTEGER) % 100) / 100.0 AS confidence, CAST(props->>'$.k' AS INTEGER) % 5 = 0 AS was_corrected, event_id % 20 AS pattern_id, ts FROM events),
 fb AS (SELECT id, doc_id, field, value AS original, value + 1 AS corrected, ts FROM log WHERE was_corrected),
-td AS (SELECT id, field, CAST(floor(value) AS BIGINT) AS value, ['manual_correction','validated','rules_confident','rules','ml_prediction','imported'][id % 6 + 1] AS source,
+td AS (SELECT id, field, CAST(floor(value) AS BIGINT) AS value, ['correction','manual','approved','rules_validated','rules_raw','auto'][id % 6 + 1] AS source,
   1.0 - (id % 6) * 0.1 AS quality, id % 11 <> 0 AS is_active, ts FROM log),
 reg AS (SELECT field, date_trunc('week', ts) AS trained_at, count(*) AS n_samples, round(1 - avg(CASE WHEN was_corrected THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM log GROUP BY ALL),
 ver AS (SELECT *, CAST(row_number() OVER (PARTITION BY field ORDER BY trained_at) AS INTEGER) AS version FROM reg),
@@ -105,7 +105,7 @@ ORACLE_SQL = {
     "top_patterns": _W + "SELECT * FROM (SELECT field, CAST(row_number() OVER (PARTITION BY field ORDER BY s / (s + f + 1) DESC, s DESC, pattern_id) AS INTEGER) AS rank, pattern_id, s, f FROM pc WHERE is_active) WHERE rank <= 5",
     "recommendations": _W + ", p AS (SELECT field, count(*) AS n, round(avg(CAST(quality AS DOUBLE)), 6) AS mean_quality FROM td WHERE is_active GROUP BY field) SELECT *, CASE WHEN n < 5 THEN 'empty' WHEN n < 20 THEN 'few examples' WHEN mean_quality < 0.76 THEN 'low quality' ELSE 'trainable' END AS advice FROM p",
     "field_intelligence": _W + ", p AS (SELECT field, count(*) AS n, count(DISTINCT value) AS n_values, round(1 - avg(CASE WHEN was_corrected THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM log GROUP BY field) SELECT *, CASE WHEN n < 5 THEN 'new' WHEN n >= 50 AND accuracy >= 0.9 THEN 'expert' WHEN n >= 20 AND accuracy >= 0.75 THEN 'mature' ELSE 'learning' END AS maturity FROM p",
-    "candidate_vote": _W + """, c AS (SELECT doc_id, field, CAST(floor(value) AS BIGINT) AS value, method, CAST(confidence AS DOUBLE) AS confidence, CAST(confidence AS DOUBLE) * CASE method WHEN 'rules' THEN 0.85 WHEN 'auto_rule' THEN 0.8 WHEN 'smart_pattern' THEN 0.75 ELSE 0.5 END AS w FROM log),
+    "candidate_vote": _W + """, c AS (SELECT doc_id, field, CAST(floor(value) AS BIGINT) AS value, method, CAST(confidence AS DOUBLE) AS confidence, CAST(confidence AS DOUBLE) * CASE method WHEN 'rules' THEN 0.7 WHEN 'ml' THEN 0.6 WHEN 'learned_pattern' THEN 0.65 WHEN 'auto_rule' THEN 0.55 ELSE 0.5 END AS w FROM log),
 g AS (SELECT doc_id, field, value, sum(w) AS total, count(*) AS n, max({'c': confidence, 'm': method}) AS best FROM c GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY round(total * (1 + CAST(0.15 AS DOUBLE) * (n - 1)), 9) DESC, value) AS r FROM g)
 SELECT doc_id, field, value, round(CASE WHEN n = 1 THEN best.c ELSE least(CAST(0.98 AS DOUBLE), best.c * (1 + CAST(0.1 AS DOUBLE) * (n - 1))) END, 6) AS confidence, best.m AS method FROM r WHERE r = 1""",

@@ -67,9 +67,9 @@ def pages_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_of_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = render_tenders(spark, sf_dir)
-    found = rules.apply_rules(docs).where("field in ('cig', 'punteggio_tecnica', 'scadenza_offerte')")
+    found = rules.apply_rules(docs, [r for r in rules.BUILTIN if r.field in ("cig", "cup", "scadenza_offerte")])
     paged = structure.page_of_value(structure.pages(docs), found)
-    return paged.where("field <> 'punteggio_tecnica'").groupBy("field", "page_num").agg(F.count("*").alias("n"))
+    return paged.groupBy("field", "page_num").agg(F.count("*").alias("n"))
 
 
 def lot_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,10 +144,10 @@ ORACLE_SQL = {
     "extract_scores": f"WITH {_ORDERS} SELECT doc_id, CAST(tech AS INTEGER) AS technical, CAST(100 - tech AS INTEGER) AS economic, CAST(12 + k % 24 AS INTEGER) AS months FROM o",
     "extract_flags": f"WITH {_ORDERS} SELECT doc_id, k % 3 <> 0 AS provisional_guarantee, k % 5 = 0 AS site_visit, k % 4 <> 0 AS subcontracting, k % 7 = 0 AS pnrr FROM o",
     "extract_long": f"""WITH {_ORDERS}, f AS (SELECT unnest(['cig','cup','cpv','stazione_appaltante','oggetto_appalto','tipo_procedura','importo_totale','punteggio_tecnica','punteggio_economica','scadenza_offerte','durata_mesi','pnrr','sopralluogo_obbligatorio']) AS field, k, total FROM o)
-SELECT field, count(*) AS n, count(*) FILTER (WHERE field <> 'durata_mesi' OR false) AS n_valid FROM f
+SELECT field, count(*) AS n, count(*) AS n_valid FROM f
 WHERE (field <> 'pnrr' OR k % 7 = 0) AND (field <> 'sopralluogo_obbligatorio' OR k % 5 = 0) AND (field <> 'importo_totale' OR total >= 100) GROUP BY field""",
     "pages_explode": f"WITH {_ORDERS} SELECT CAST(p AS INTEGER) AS page_num, count(*) AS n, count(*) FILTER (WHERE p = 2 AND EXISTS (SELECT 1 FROM l WHERE l.k = o.k AND lot = 1)) AS with_lot_1 FROM o, (SELECT unnest([1, 2, 3]) AS p) GROUP BY p",
-    "page_of_value": f"WITH {_ORDERS} SELECT field, CAST(page AS INTEGER) AS page_num, count(*) AS n FROM o, (VALUES ('cig', 1), ('scadenza_offerte', 3)) v(field, page) GROUP BY ALL",
+    "page_of_value": f"WITH {_ORDERS} SELECT field, CAST(page AS INTEGER) AS page_num, count(*) AS n FROM o, (VALUES ('cig', 1), ('cup', 1), ('scadenza_offerte', 3)) v(field, page) GROUP BY ALL",
     "lot_amounts": f"WITH {_ORDERS} SELECT CAST(k AS VARCHAR) AS doc_id, lot, upper(sha256(CAST(k AS VARCHAR) || '-' || CAST(lot AS VARCHAR)))[1:10] AS cig, amount FROM l WHERE k IN (SELECT k FROM o)",
     "table_rows": f"WITH {_ORDERS} SELECT CAST(k AS VARCHAR) AS doc_id, lot AS code, 'Voce di capitolato ' || lot AS description, lot * 5 AS points FROM l WHERE k IN (SELECT k FROM o)",
     "chunk_sections": f"WITH {_ORDERS} SELECT section, count(*) AS n FROM o, (SELECT unnest(['GARANZIA PROVVISORIA', 'SOPRALLUOGO', 'SUBAPPALTO', 'DISCIPLINARE DI GARA']) AS section) GROUP BY section",
@@ -156,6 +156,10 @@ WHERE (field <> 'pnrr' OR k % 7 = 0) AND (field <> 'sopralluogo_obbligatorio' OR
 c AS (SELECT doc_id, CAST(coalesce(lots, 0) > 0 AND abs(lots - total) <= 0.02 * total AS BOOLEAN) AS lots_ok, lots IS NULL AS no_lots FROM o LEFT JOIN s USING (k))
 SELECT doc_id, CAST(4 + CASE WHEN lots_ok THEN 1 ELSE 0 END AS INTEGER) AS n_pass, CAST(CASE WHEN no_lots THEN 1 ELSE 0 END AS INTEGER) AS n_warn, CAST(CASE WHEN NOT lots_ok AND NOT no_lots THEN 1 ELSE 0 END AS INTEGER) AS n_fail,
 CAST(CASE WHEN NOT lots_ok AND NOT no_lots THEN 0.9 ELSE 1.0 END AS DOUBLE) AS score FROM c""",
+    "flatten_record": f"""WITH {_ORDERS} SELECT path, count(*) AS n FROM o, (SELECT unnest(['identificativi.cig','identificativi.cup','identificativi.cpv','soggetti.stazione','soggetti.oggetto','importi.totale','punteggi.tecnica','punteggi.economica','tempistiche.scadenza','tempistiche.mesi']) AS path)
+WHERE path <> 'importi.totale' OR total >= 100 GROUP BY path""",
+    "fields_by_category": f"""WITH {_ORDERS} SELECT category, CAST(p AS INTEGER) AS position, CAST(nf AS BIGINT) AS n_fields, CAST(CASE category WHEN 'Importi' THEN count(*) FILTER (WHERE total >= 100) WHEN 'Flag' THEN count(*) FILTER (WHERE k % 7 = 0) + count(*) FILTER (WHERE k % 5 = 0) ELSE nf * count(*) END AS BIGINT) AS n_values
+FROM o, (VALUES ('Identificativi', 0, 3), ('Soggetti', 1, 1), ('Oggetto e Procedura', 2, 2), ('Importi', 3, 1), ('Punteggi', 4, 2), ('Tempistiche', 5, 2), ('Flag', 6, 2)) v(category, p, nf) GROUP BY category, p, nf""",
     "history": f"WITH {_ORDERS} SELECT doc_id, 'disciplinare_' || doc_id || '.txt' AS filename, h[1:10] AS cig, 'Comune di ' || n_name AS body FROM o ORDER BY o_orderdate DESC, k LIMIT 50",
     "build_record": f"""WITH {_ORDERS}, n AS (SELECT k, count(*) AS n, max(CASE WHEN lot = 1 THEN upper(sha256(CAST(k AS VARCHAR) || '-1'))[1:10] END) AS c1 FROM l GROUP BY k)
 SELECT doc_id, h[1:10] AS cig, total, CAST(coalesce(n.n, 0) AS INTEGER) AS n_lots, c1 AS cig_lot_1,

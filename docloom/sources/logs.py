@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Names by the remainder of event_id.
-METHODS = ["rules", "smart_pattern", "auto_rule", "ml"]
-SOURCES = ["manual_correction", "validated", "rules_confident", "rules", "ml_prediction", "imported"]
+METHODS = ["rules", "learned_pattern", "auto_rule", "ml"]
+SOURCES = ["correction", "manual", "approved", "rules_validated", "rules_raw", "auto"]
 
 
 def _k() -> F.Column:

@@ -54,7 +54,11 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     import uuid
 
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/docloom-streams"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        base = "file:///tmp/docloom-streams"
     path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     name = f"docloom_{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/state")

