@@ -117,7 +117,7 @@ def test_labels(spark):
 
 
 def test_example_quality(spark):
-    got = spark.range(1).select(learning.example_quality(F.lit("rules"), F.lit(600)), learning.example_quality(F.lit("?"), F.lit(1)), learning.example_quality(F.lit("manual_correction"), F.lit(900))).first()
+    got = spark.range(1).select(learning.example_quality(F.lit("rules_validated"), F.lit(600)), learning.example_quality(F.lit("?"), F.lit(1)), learning.example_quality(F.lit("correction"), F.lit(900))).first()
     assert tuple(round(x, 6) for x in got) == (0.7, 0.3, 1.0)
 
 
