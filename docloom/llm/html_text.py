@@ -7,7 +7,8 @@ a share of MIN_SHARE or more are deleted when the text is put together. Copies o
 article isn't taken for a template because its page was crawled often.
 
 Because of MIN_SHARE a host has at most 1 / MIN_SHARE times as many template hashes as a page has elements, which bounds the list kept
-for a host. Null or empty pages give an empty text. Pages without a host in their url lose no templates. Tags that are cut off at the end
+for a host. An element that only the words of its class or id call a menu, notice and the like goes, unless nothing would be left.
+Repeated rows are read each for itself but count once; an empty table gives an empty result; columns named text or n_chars give way. Null or empty pages give an empty text. Pages without a host in their url lose no templates. Tags that are cut off at the end
 of a page are dropped, unclosed elements end with their parent.
 """
 
@@ -37,6 +38,8 @@ NOT_ARTICLE = frozenset(
     "ad ads advert adverts advertisement advertisements adbox adslot adsense banner banners breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus discussion footer gdpr menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related respond share sharing sidebar sidebars skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 HEADER_NAMES = frozenset("header masthead topbar".split())
+#: A class name that holds one of these only says what surrounds an element.
+STATE_WORDS = frozenset("no not non has with without is show hide".split())
 NOT_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -49,39 +52,49 @@ _SPLIT_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parts", "dropped", "area")
+    __slots__ = ("tag", "parts", "dropped", "doubtful", "area")
 
-    def __init__(self, tag: str, dropped: bool, area: str):
-        self.tag, self.dropped, self.area, self.parts = tag, dropped, area, []
+    def __init__(self, tag: str, dropped: bool, area: str, doubtful: bool = False):
+        self.tag, self.dropped, self.doubtful, self.area, self.parts = tag, dropped, doubtful, area, []
 
 
-def unwanted(tag: str, attributes: str, area: str) -> bool:
-    """Whether an element holds no article text. area: "article" or "main" inside such an element, else empty."""
+def unwanted(tag: str, attributes: str, area: str) -> int:
+    """Whether an element holds no article text: 1 surely, 2 by the words of its class or id only. area: "article" or "main" inside such an element, else empty."""
     if tag in DROPPED or tag == "header" and not area:
-        return True
+        return 1
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
+        return 0
+    doubt = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             if tag in ("body", "html", "main"):
                 continue
-            names = {x.lower() for x in _NAMES.findall(_SPLIT_CAMEL.sub(" ", value))}
-            if names & NOT_ARTICLE or not area and names & HEADER_NAMES:
-                return True
+            for name in value.split():
+                words = {x.lower() for x in _NAMES.findall(_SPLIT_CAMEL.sub(" ", name))}
+                if not words & STATE_WORDS and (words & NOT_ARTICLE or not area and words & HEADER_NAMES):
+                    doubt = 2
         elif name == "role" and value.lower() in NOT_ARTICLE_ROLES and tag not in ("body", "html", "main", "article"):
-            return True
+            return 1
         elif name == "aria-hidden" and value.lower() == "true" or name == "hidden":
-            return True
+            return 1
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 1
+    return doubt
 
 
 def parse(page: str) -> Node:
     """The tree of a page. Parts of a node are texts (character references decoded) and nodes, in page order."""
     root = Node("", False, "")
     stack, at, size = [root], 0, len(page)
+    opened: dict[str, int] = {}  # open elements by tag, so that an end tag without one costs nothing
+    doubtful = False
+
+    def pop_to(k: int) -> None:
+        for node in stack[k:]:
+            opened[node.tag] -= 1
+        del stack[k:]
+
     search, unescape = _TOKEN.search, html.unescape
     while at < size:
         token = search(page, at)
@@ -97,16 +110,16 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    pop_to(k)
                     break
             continue
         top = stack[-1]
         if tag in CLOSES_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    pop_to(k)
                     break
                 if stack[k].tag not in INLINE:
                     break
@@ -114,7 +127,7 @@ def parse(page: str) -> Node:
         elif tag in CLOSES_LIKE:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in CLOSES_LIKE[tag]:
-                    del stack[k:]
+                    pop_to(k)
                     if tag not in ("tr",):
                         break
                 elif stack[k].tag in SCOPES:
@@ -124,7 +137,9 @@ def parse(page: str) -> Node:
             top.parts.append(" " if tag in ("br", "hr") else "")
             continue
         area = "main" if tag == "main" else "article" if tag == "article" else top.area
-        node = Node(tag, top.dropped or unwanted(tag, attributes, top.area), area)
+        kind = 1 if top.dropped else unwanted(tag, attributes, top.area)
+        node = Node(tag, kind == 1, area, kind == 2)
+        doubtful |= kind == 2
         if not node.dropped:
             top.parts.append(node)
         if tag in RAW:
@@ -133,7 +148,37 @@ def parse(page: str) -> Node:
             continue
         if not attributes.endswith("/") or tag not in ("path", "circle", "rect", "line", "polygon", "use"):
             stack.append(node)
-    return root
+            opened[tag] = opened.get(tag, 0) + 1
+    return settled(root) if doubtful else root
+
+
+def settled(root: Node) -> Node:
+    """root without the elements that only the words of a class or id call something else than article; where no text is left outside them,
+    the outermost one with most text stays, and so on inside it."""
+    while True:
+        queue, found, outside = [root], [], False
+        while queue:
+            node = queue.pop()
+            for part in node.parts:
+                if isinstance(part, str):
+                    outside |= bool(part.strip())
+                elif part.doubtful:
+                    found.append((node, part))
+                else:
+                    queue.append(part)
+        best, most = None, 0
+        for _, part in found if not outside else ():
+            out: list[str] = []
+            render(part, out, frozenset(), None)
+            n = len("".join(out).split())
+            if n > most:
+                best, most = part, n
+        gone = {id(part) for _, part in found if part is not best}
+        for node in {id(node): node for node, _ in found}.values():
+            node.parts = [x for x in node.parts if id(x) not in gone]
+        if best is None:
+            return root
+        best.doubtful = False
 
 
 def render(node: Node, out: list[str], gone: frozenset[int], hashes: dict[int, None] | None) -> int:

@@ -9,16 +9,17 @@ smaller name.
 
 The fit uses a bounded sample: per language SAMPLE_DOCS labelled documents (those with the smallest hash of doc_id)
 of at most SAMPLE_BYTES each that have a doc_id, and MAX_CONTEXTS contexts of order 3. Scoring covers every byte of every text. Texts that are
-null or have no letter get `und` with score 0; without any learned language so does everything.
+null or have no letter (Unicode category L) get `und` with score 0; without any learned language so does everything. Repeated rows are scored
+each for itself, an empty table gives an empty result, and columns named like a new one give way to it.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -140,7 +141,7 @@ def identify(df: DataFrame, model: PpmModel | None, text_col: str = "text", keep
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        letter, m = re.compile(r"[^\W\d_]").search, shared.value
+        letter, m = regex.compile(r"\p{L}").search, shared.value
 
         def run(texts):
             plain = [t or "" for t in texts.to_pylist()]
