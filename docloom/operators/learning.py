@@ -94,6 +94,25 @@ def train_classifier(examples: DataFrame, label_col: str, weight_col: str | None
     return model, labels, scores
 
 
+def predict_top(model, labels: list, docs: DataFrame, k: int = 3, least: float = 0.05) -> DataFrame:
+    """docs with `classes`: the k most probable labels above `least`, with their probabilities."""
+    from pyspark.ml.functions import vector_to_array
+
+    names = F.array(*[F.lit(x) for x in labels])
+    ranked = F.array_sort(F.transform(vector_to_array("probability"), lambda p, i: F.struct((-p).alias("minus"), F.get(names, i).alias("label"))))
+    kept = F.slice(F.filter(ranked, lambda x: -x["minus"] > least), 1, k)
+    return model.transform(text_features(docs)).select(*docs.columns, F.transform(kept, lambda x: F.struct(x["label"].alias("label"), (-x["minus"]).alias("p"))).alias("classes"))
+
+
+def metrics(predicted: DataFrame, truth: str, label: str = "label") -> DataFrame:
+    """One row: n, accuracy, and F1 averaged over the true classes by their sizes."""
+    pairs = predicted.groupBy(F.col(truth).alias("t"), F.col(label).alias("y")).agg(F.count("*").alias("n"))
+    sides = pairs.select(F.inline(F.array(F.struct(F.col("t").alias("c"), F.col("n").alias("real"), F.lit(0).cast("long").alias("said"), F.when(F.col("t") == F.col("y"), F.col("n")).otherwise(0).alias("hit")), F.struct(F.col("y").alias("c"), F.lit(0).cast("long").alias("real"), F.col("n").alias("said"), F.lit(0).cast("long").alias("hit")))))
+    each = sides.groupBy("c").agg(F.sum("real").alias("real"), F.sum("said").alias("said"), F.sum("hit").alias("hit")).where("c is not null")
+    f1 = F.when(F.col("hit") > 0, 2 * F.col("hit") / (F.col("real") + F.col("said"))).otherwise(0.0)
+    return each.agg(F.sum("real").alias("n"), F.round(F.sum("hit") / F.sum("real"), 6).alias("accuracy"), F.round(F.sum(f1 * F.col("real")) / F.sum("real"), 6).alias("f1"))
+
+
 def predict(model, labels: list, docs: DataFrame, least: float = 0.3) -> DataFrame:
     """docs with label and confidence; label null below `least`."""
     from pyspark.ml.functions import vector_to_array

@@ -9,6 +9,9 @@ from docloom.functions import scalars as S
 from docloom.operators import corpus as C
 from docloom.operators import learning as L
 from docloom.operators import rules, structure
+from docloom.operators import analytics as A
+from docloom.plans.logs import ORACLE_SQL as LOG_SQL
+from docloom.sources.logs import extraction_log
 from docloom.sources.tenders import render_tenders
 from docloom.streaming import logs as stream
 
@@ -62,14 +65,28 @@ def classify_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n", "accuracy", F.lit(sum(scores) / len(scores)).alias("fold_accuracy"))
 
 
+# Patterns of generic entities.
+ENTITIES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ipv4": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "licence": r"[Ll]icensed under"}
+
+
 def generic_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with e-mail addresses, IPv4 addresses and licence lines, and how many of each."""
-    pack = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ipv4": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "licence": r"[Ll]icensed under"}
-    counts = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_count("text", F.lit(p)).cast("long").alias("n")) for k, p in pack.items()])
-    return _docs(spark, sf_dir).select("doc_id", F.inline(counts)).where("n > 0")
+    return stream.extracted_entities(_docs(spark, sf_dir), ENTITIES)
+
+
+def stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomalous values in the stream, by the statistics of the whole log."""
+    stats = A.value_statistics(extraction_log(spark, sf_dir))
+    return stream.drained(stream.anomalous_values(stream.read_events(spark, sf_dir), stats), "append").select("id", "field", "value", F.round("z", 6).alias("z"))
+
+
+def stream_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.drained(stream.extracted_entities(stream.read_documents(spark, sf_dir), ENTITIES), "append")
 
 
 QUERIES = {
+    "stream_anomalies": stream_anomalies,
+    "stream_extraction": stream_extraction,
     "doc_hash_dedup": lambda s, d: C.distinct_texts(_docs(s, d)),
     "doc_id_assign": lambda s, d: _docs(s, d).select("doc_id", C.document_id(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")), F.col("text")).alias("assigned")),
     "admission": lambda s, d: C.admit(_docs(s, d)).select("doc_id", C.content_hash(F.col("text")).alias("text_hash")),
@@ -130,3 +147,5 @@ SELECT field, 'rules_validated' AS source, count(*) AS n, CAST(0.6 AS DOUBLE) AS
     "stream_dedup": "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1",
     "stream_counter": "SELECT event_type AS field, count(*) AS n_corrections, count(*) // 5 AS n_signals FROM events WHERE CAST(props->>'$.k' AS INTEGER) % 5 = 0 GROUP BY 1",
 }
+ORACLE_SQL["stream_extraction"] = ORACLE_SQL["generic_entities"]
+ORACLE_SQL["stream_anomalies"] = LOG_SQL["value_anomalies"]

@@ -16,7 +16,11 @@ def _k() -> F.Column:
 
 def extraction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, doc_id, field, value, method, confidence, was_corrected, pattern_id, ts."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return as_log(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_log(e: DataFrame) -> DataFrame:
+    """Events, a table or a stream, as an extraction log."""
     method = F.get(F.array(*[F.lit(m) for m in METHODS]), (F.col("event_id") % 4).cast("int"))
     return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("doc_id"), F.col("event_type").alias("field"), "value", method.alias("method"), ((_k() % 100) / 100.0).alias("confidence"), (_k() % 5 == 0).alias("was_corrected"), (F.col("event_id") % 20).alias("pattern_id"), "ts")
 

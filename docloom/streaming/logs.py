@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docloom.operators import analytics as A
+from docloom.sources.logs import as_log
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,23 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as a stream of its files."""
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents*.parquet")
+
+
+def extracted_entities(documents: DataFrame, pack: dict[str, str]) -> DataFrame:
+    """How often each named pattern occurs in documents as they arrive; no state."""
+    counts = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_count("text", F.lit(p)).cast("long").alias("n")) for k, p in pack.items()])
+    return documents.select("doc_id", F.inline(counts)).where("n > 0")
+
+
+def anomalous_values(events: DataFrame, stats: DataFrame) -> DataFrame:
+    """Values of arriving events that lie apart from a stored snapshot of their field's statistics."""
+    return A.anomalies(as_log(events), stats)
+
+
 def running_field_stats(events: DataFrame) -> DataFrame:
     return events.groupBy(F.col("event_type").alias("field")).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
 

@@ -201,3 +201,16 @@ def test_code_formats(spark):
 
     lots = F.array(F.struct(F.lit(1).alias("lot"), F.lit("AAA1111111").alias("cig")), F.struct(F.lit(2).alias("lot"), F.lit("short").alias("cig")))
     assert spark.range(1).select(packs.code_formats(F.lit("C12B0001"), lots).alias("x")).first().x == ["CUP", "CIG lotto 2"]
+
+
+def test_metrics(spark):
+    rows = [("a", "a")] * 3 + [("a", "b")] + [("b", "b")] * 2 + [("b", None)]
+    got = learning.metrics(spark.createDataFrame(rows, "y string, label string"), "y").first()
+    assert (got.n, got.accuracy, got.f1) == (7, round(5 / 7, 6), round((2 * 3 / 7 * 4 + 2 * 2 / 6 * 3) / 7, 6))
+
+
+def test_top_classes(spark):
+    docs = spark.createDataFrame([(i, "rosso fuoco" if i % 2 else "verde prato", "r" if i % 2 else "v") for i in range(20)], "doc_id long, text string, y string")
+    model, names, _ = learning.train_classifier(docs, "y")
+    got = {r.doc_id: r.classes for r in learning.predict_top(model, names, docs, 1).collect()}
+    assert all(c[0].label == ("r" if i % 2 else "v") and c[0].p > 0.5 and len(c) == 1 for i, c in got.items())
