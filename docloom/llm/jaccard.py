@@ -140,7 +140,8 @@ class JaccardJoin:
         both = pairs.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
         near = both.where(self.fits("na", "nb")).where(F.size(F.array_intersect("pa", "pb")) >= F.expr(self.need("na", "nb")))
         near = stored(near.select("a", "b"))
-        ids = stored(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        sides = [near.select(F.col(c).alias("doc_id")).distinct() for c in ("a", "b")]
+        ids = stored(sides[0].unionAll(sides[1]).distinct())
         width, num, den = self.width, self.num, self.den
 
         wanted = id_filter(ids)
