@@ -26,3 +26,12 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == counts[4]
     empty = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     assert [stage(spark, empty, sf_dir).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
+
+
+def test_near_duplicates_keep_every_different_text(spark):
+    """Rows that share a doc_id are told apart by their texts; of a group one row stays, null ids last; rows without words stay."""
+    a, b, c, d = "alpha beta gamma delta epsilon zeta", "something else altogether here now", "only null id twice here", "once more five words"
+    rows = [(1, a), (1, b), (2, a), (2, a), (None, a), (None, c), (None, c), (7, ""), (7, None), (3, d), (3, d)]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (7, ""), (7, None), (None, c), (3, d)], key=str)
