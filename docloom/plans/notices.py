@@ -2,53 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import packs as P
 from docloom.sources.notices import render_notices
 
-_TEXT = F.col("text")
+def _text() -> Column:
+    return F.col("text")
 
 
 def _query(*packs, **more):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        cols = {k: v for p in packs for k, v in p(_TEXT).items()}
-        return render_notices(spark, sf_dir).select("doc_id", *[c.alias(k) for k, c in cols.items()], *[f(_TEXT).alias(k) for k, f in more.items()])
+        cols = {k: v for p in packs for k, v in p(_text()).items()}
+        return render_notices(spark, sf_dir).select("doc_id", *[c.alias(k) for k, c in cols.items()], *[f(_text()).alias(k) for k, f in more.items()])
 
     return run
 
 
 def notice_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Criteria with the sum of their parts, one row each, and whether they add up to the technical maximum."""
-    docs = render_notices(spark, sf_dir).select("doc_id", P.criteria(_TEXT).alias("rows"), P.scoring(_TEXT)["technical"].alias("technical"))
+    docs = render_notices(spark, sf_dir).select("doc_id", P.criteria(_text()).alias("rows"), P.scoring(_text())["technical"].alias("technical"))
     checked = docs.select("doc_id", P.criteria_sum(F.col("rows"), F.col("technical")).alias("sum_check"), F.explode(P.nested_criteria(F.col("rows"))).alias("c"))
     return checked.select("doc_id", "c.code", "c.points", F.size("c.parts").alias("n_parts"), "sum_check")
 
 
 def notice_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lots = render_notices(spark, sf_dir).select("doc_id", F.explode(P.lots(_TEXT)).alias("x"))
+    lots = render_notices(spark, sf_dir).select("doc_id", F.explode(P.lots(_text())).alias("x"))
     return lots.select("doc_id", "x.lot", "x.name", "x.cig", "x.amount")
 
 
 def notice_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages for the reader, how many fields have a value, and a line on the procedure."""
-    cols = P.amounts(_TEXT) | P.timing(_TEXT) | P.scoring(_TEXT) | P.requirements(_TEXT)
+    cols = P.amounts(_text()) | P.timing(_text()) | P.scoring(_text()) | P.requirements(_text())
     docs = render_notices(spark, sf_dir)
-    line = F.concat_ws(", ", *[P.procedure(_TEXT)[k] for k in ("label", "scope", "method")])
+    line = F.concat_ws(", ", *[P.procedure(_text())[k] for k in ("label", "scope", "method")])
     found = P.methods_map({k: cols[k] for k in ("labour", "opening", "turnover", "agreement")})
     return docs.select("doc_id", F.array_join(P.notes(cols), "; ").alias("notes"), F.size(found).alias("n_found"), line.alias("procedure"))
 
 
 def notice_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every date in the first five places, with its place and length of context, checked against the text."""
-    hits = render_notices(spark, sf_dir).select("doc_id", "text", F.explode(P.matches_with_context(_TEXT, r"\d{2}/\d{2}/\d{4}")).alias("m"))
+    hits = render_notices(spark, sf_dir).select("doc_id", "text", F.explode(P.matches_with_context(_text(), r"\d{2}/\d{2}/\d{4}")).alias("m"))
     right = (F.substring("text", F.col("m.at"), F.lit(10)) == F.col("m.value")) & F.col("m.context").contains(F.col("m.value"))
     return hits.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(right).alias("n_right"))
 
 
 def lettered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render_notices(spark, sf_dir).select("doc_id", F.explode(P.lettered_items(_TEXT)).alias("x")).select("doc_id", "x.letter", "x.item")
+    return render_notices(spark, sf_dir).select("doc_id", F.explode(P.lettered_items(_text())).alias("x")).select("doc_id", "x.letter", "x.item")
 
 
 QUERIES = {
@@ -63,7 +64,7 @@ QUERIES = {
     "notice_categories": _query(codes=lambda t: F.transform(P.categories(t), lambda x: x["code"]), kinds=lambda t: F.transform(P.categories(t), lambda x: x["kind"])),
     "notice_timing": _query(P.timing),
     "notice_requirements": _query(P.requirements),
-    "notice_roles": lambda s, d: render_notices(s, d).select("doc_id", F.explode(P.roles_list(_TEXT)).alias("r")).select("doc_id", "r.name", "r.degree", "r.register", "r.years"),
+    "notice_roles": lambda s, d: render_notices(s, d).select("doc_id", F.explode(P.roles_list(_text())).alias("r")).select("doc_id", "r.name", "r.degree", "r.register", "r.years"),
     "notice_criteria": notice_criteria,
     "notice_scoring": _query(P.scoring),
     "notice_offer": _query(P.offer_format),
