@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays = (F.col("set_id") == F.col("first.set_id")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     fate = stored(met.select(F.col("doc_id").alias("own"), F.col("set_id").alias("name"), stays.alias("stays")).groupBy("own", "name", "stays").agg(F.count("*").alias("k")))
     same = (F.col("own").eqNullSafe(F.col("doc_id"))) & (F.col("name") == F.col("__set"))
-    with bounded_batches(spark):
+    with bounded_batches(spark, 1000, 1):
         marked = map_texts(docs.withColumn("__text", F.col("text")), jaccard.text_sets(5), "__n bigint, __set bigint", "__text", keep_text=False)
         left = stored(marked.join(fate.hint("shuffle_merge"), same, "left").where("stays or stays is null"))
     once = left.where("k is null or k = 1").select(*docs.columns)

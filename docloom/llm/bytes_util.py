@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are worked on at once; a longer text comes in several pieces.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Bytes of context before each text and each piece.
 CONTEXT = 3
 _START = b"\n" * CONTEXT

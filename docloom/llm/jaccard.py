@@ -37,7 +37,7 @@ from docloom.llm.words import mix, shingle_sets
 #: Shingles at most that the global order puts last, members of a group's chunk.
 COMMON, CHUNK = 200_000, 64
 #: Shingles that a task of the survey looks through for repeated ones at once.
-HELD = 1 << 21
+HELD = 1 << 20
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -187,7 +187,7 @@ class JaccardJoin:
 
     def groups(self) -> tuple[DataFrame, DataFrame]:
         """(doc_id, n, set_id) of every row, stored, and (set_id, component) of all sets that link with another; a component is its smallest set_id."""
-        with bounded_batches(self.docs.sparkSession):
+        with bounded_batches(self.docs.sparkSession, 1000, 1):
             return self._groups()
 
     def _groups(self) -> tuple[DataFrame, DataFrame]:

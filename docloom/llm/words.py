@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-PIECE = 1 << 20
+#: Bytes that are hashed at once; a longer text comes in several pieces, cut between words.
+PIECE = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
