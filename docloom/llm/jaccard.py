@@ -10,13 +10,14 @@ shingles, and sets of them (`set_id`), are known by 64-bit hashes.
 3. Leaders: in every bucket of a prefix shingle and a band of sizes, all members are compared with the smallest one. Links partition
    the classes into groups of similar documents, however large, with a number of comparisons that is linear in the bucket.
    Where a bucket then still holds several groups, they meet one more leader, another one in each bucket.
+   Components that still are apart form a group with the largest one whose leader their prefixes resemble, linked or not.
 4. Token-group matrix: each group, in chunks of about CHUNK members, stores the union of its members' prefixes, as (token, group) rows
-   too. A class meets the groups of other components there, at a token that leaves room for all the others they need; the number of its
-   tokens in a group's union then bounds its overlap with any member, and only groups that reach the bound are opened: their
-   members are compared with the class one by one.
+   too. A class meets the chunks that hold larger components there, at a token that leaves room for all the others they need; the number
+   of its tokens in a chunk's union then bounds its overlap with any member, and only chunks that reach the bound are opened: about CHUNK
+   classes at a time are compared with all members of a chunk at once, so that pairs of similar texts never become rows.
 
-Pairs inside a component found by leaders need no comparison, since component_id can't change by them. A comparison first bounds the overlap
-by the two prefixes, then intersects the whole sets.
+Pairs inside a component found by leaders need no comparison, since component_id can't change by them. A comparison with a leader first
+bounds the overlap by the two prefixes, then intersects the whole sets.
 
 Null or empty texts have no shingles and link with nothing. Rows with equal doc_id are one node for link(), which all their texts
 belong to; groups() tells their texts apart. Rows with a null doc_id get their n_shingles and a null component from link().
@@ -36,6 +37,8 @@ from docloom.llm.words import mix, shingle_sets
 
 #: Shingles at most that the global order puts last, members of a group's chunk.
 COMMON, CHUNK = 200_000, 64
+#: Shingles of a block that are compared at once.
+COLUMNS = 1 << 14
 #: Shingles that a task of the survey looks through for repeated ones at once.
 HELD = 1 << 20
 
@@ -107,6 +110,29 @@ def _prefixes(width: int, num: int, den: int, shared):
     return run
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of each set of left with each of right, in bounded memory for sets of any size."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)))
+    sides = []
+    for sets, flat in ((left, a), (right, b)):
+        row, at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.minimum(np.searchsorted(both, flat), max(len(both) - 1, 0))
+        hit = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((row[hit][order], at[hit][order]))
+    for lo in range(0, len(both), COLUMNS):
+        width = min(COLUMNS, len(both) - lo)
+        parts = []
+        for (row, at), sets in zip(sides, (left, right)):
+            i, j = np.searchsorted(at, [lo, lo + width])
+            part = np.zeros((len(sets), width), np.float32)
+            part[row[i:j], at[i:j] - lo] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
 class JaccardJoin:
     """The join of one documents table; link() gives its result."""
 
@@ -133,17 +159,9 @@ class JaccardJoin:
     def fits(self, a: str, b: str) -> str:
         return f"{self.den} * least({a}, {b}) >= {self.num} * greatest({a}, {b})"
 
-    def compare(self, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-        """The linked ones of distinct pairs (a, b)."""
-        left = prefixes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-        right = prefixes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
-        both = pairs.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
-        near = both.where(self.fits("na", "nb")).where(F.size(F.array_intersect("pa", "pb")) >= F.expr(self.need("na", "nb")))
-        near = stored(near.select("a", "b"))
-        sides = [near.select(F.col(c).alias("doc_id")).distinct() for c in ("a", "b")]
-        ids = stored(sides[0].unionAll(sides[1]).distinct())
-        width, num, den = self.width, self.num, self.den
-
+    def token_sets(self, ids: DataFrame) -> DataFrame:
+        """(rep, tokens: its set as bytes) of the classes of a stored table of distinct names (doc_id), stored."""
+        width = self.width
         wanted = id_filter(ids)
 
         def sets(batches):
@@ -155,6 +173,21 @@ class JaccardJoin:
 
         made = self.docs.select("text").mapInArrow(lean(sets), "rep long, tokens binary")
         table = stored(made.join(ids.select(F.col("doc_id").alias("rep")).hint("shuffle_merge"), "rep").dropDuplicates(["rep"]))
+        if wanted is not None:
+            wanted.destroy()
+        return table
+
+    def compare(self, pairs: DataFrame, prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of distinct pairs (a, b) those whose prefixes allow a link, and the linked ones."""
+        left = prefixes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
+        right = prefixes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+        both = pairs.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
+        near = both.where(self.fits("na", "nb")).where(F.size(F.array_intersect("pa", "pb")) >= F.expr(self.need("na", "nb")))
+        near = stored(near.select("a", "b"))
+        sides = [near.select(F.col(c).alias("doc_id")).distinct() for c in ("a", "b")]
+        ids = stored(sides[0].unionAll(sides[1]).distinct())
+        num, den = self.num, self.den
+        table = self.token_sets(ids)
 
         def check(batches):
             for batch in batches:
@@ -168,18 +201,70 @@ class JaccardJoin:
         full = near.join(table.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")).hint("shuffle_merge"), "a")
         full = full.join(table.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")).hint("shuffle_merge"), "b")
         links = stored(full.select("a", "b", "ta", "tb").mapInArrow(lean(check), "a long, b long").distinct())
-        for used in (near, ids, table):
+        for used in (ids, table):
+            drop_stored(used)
+        return near, links
+
+    def compare_blocks(self, opened: DataFrame, members: DataFrame) -> DataFrame:
+        """The linked pairs (a, b) of classes (rep) and members of the chunks (g, gc) they open, each asked from its lesser component.
+
+        The askers of a chunk come in blocks of about CHUNK, each of which meets a copy of the chunk in one task.
+        """
+        num, den = self.num, self.den
+        pieces = stored(opened.groupBy("g", "gc").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("pieces")))
+        chunks = members.select("rep", F.col("grp").alias("g"), F.col("chunk").alias("gc"), "component", "size")
+        inside = stored(chunks.join(pieces.hint("shuffle_merge"), ["g", "gc"]))
+        ids = stored(opened.select("rep").unionAll(inside.select("rep")).distinct().select(F.col("rep").alias("doc_id")))
+        table = self.token_sets(ids)
+        asks = lookup_join(opened, pieces, ["g", "gc"], F.col("rep")).withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
+        copies = inside.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        # The table is read once for each side, which keeps their columns apart.
+        again = table.sparkSession.read.schema(table.schema).parquet(table.stored_at)
+        sides = [x.select("g", "gc", "piece", "rep", "component", "size").join(t.hint("shuffle_merge"), "rep") for x, t in ((asks, table), (copies, again))]
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            a, b = [], []
+            if left.num_rows and right.num_rows:
+                rep, size, component, sets = [], [], [], []
+                for t in (left, right):
+                    rep.append(t["rep"].to_numpy()), size.append(t["size"].to_numpy()), component.append(t["component"].to_numpy())
+                    sets.append([np.frombuffer(v.as_buffer(), np.uint64) for v in t["tokens"]])
+                common = overlaps(*sets)
+                n = [np.array([len(v) for v in some]) for some in sets]
+                ok = den * common >= num * (n[0][:, None] + n[1] - common)
+                ok &= (size[0][:, None] < size[1]) | ((size[0][:, None] == size[1]) & (component[0][:, None] < component[1]))
+                x, y = np.nonzero(ok)
+                a, b = rep[0][x], rep[1][y]
+            return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        key = ["g", "gc", "piece"]
+        links = stored(sides[0].groupBy(key).cogroup(sides[1].groupBy(key)).applyInArrow(meet, "a long, b long").distinct())
+        for used in (pieces, inside, ids, table):
             drop_stored(used)
         return links
 
     @staticmethod
-    def _members(prefixes: DataFrame, parts: DataFrame) -> DataFrame:
-        """prefixes with the component of each class, the component's size and the class's chunk of it, stored."""
+    def _members(prefixes: DataFrame, parts: DataFrame, near: DataFrame) -> DataFrame:
+        """prefixes with the component of each class and its size, its group (grp) and its chunk of that, stored.
+
+        near: pairs (leader, class) of similar prefixes; they bring a component into the group of the largest one that leads it.
+        """
         named = prefixes.join(parts.select(F.col("node").alias("rep"), "component").hint("shuffle_merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         big = parts.groupBy("component").agg(F.count("*").alias("size"))
         sized = lookup_join(named, stored(big), ["component"], F.col("rep"), "left").withColumn("size", F.coalesce("size", F.lit(1)))
-        chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / CHUNK)).cast("int")
-        return stored(sized.withColumn("chunk", chunk).select("rep", "n", "prefix", "component", "size", "chunk"))
+        sized = stored(sized.select("rep", "n", "prefix", "component", "size"))
+        of = sized.select("rep", "component", "size")
+        leaders = stored(of.join(near.select(F.col("a").alias("rep")).distinct().hint("shuffle_merge"), "rep", "left_semi"))
+        led = lookup_join(near, leaders.select(F.col("rep").alias("a"), F.struct("size", "component").alias("top")), ["a"], F.col("b"))
+        led = led.groupBy("b").agg(F.max("top").alias("top")).join(of.withColumnRenamed("rep", "b").hint("shuffle_merge"), "b")
+        moved = stored(led.where("top > struct(size, component)").groupBy("component").agg(F.max("top").getField("component").alias("grp")))
+        grouped = lookup_join(sized, moved, ["component"], F.col("rep"), "left").withColumn("grp", F.coalesce("grp", "component"))
+        sizes = stored(grouped.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1"))
+        chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.coalesce("k", F.lit(1)) / CHUNK)).cast("int")
+        out = stored(lookup_join(grouped, sizes, ["grp"], F.col("rep"), "left").withColumn("chunk", chunk).drop("k"))
+        for used in (sized, leaders, moved, sizes):
+            drop_stored(used)
+        return out
 
     @staticmethod
     def _open(rows: DataFrame) -> DataFrame:
@@ -215,12 +300,12 @@ class JaccardJoin:
         banded = tokens.select("token", band.alias("band"), "rep")
         lead = banded.groupBy("token", "band").agg(F.count("*").alias("k"), F.min("rep").alias("a")).where("k > 1").drop("k")
         pairs = banded.join(lead.hint("shuffle_merge"), ["token", "band"]).where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-        links = self.compare(pairs, prefixes)
+        near, links = self.compare(pairs, prefixes)
         parts = stored(connected_components(links))
 
-        members = self._members(prefixes, parts)
+        members = self._members(prefixes, parts, near)
         # The first shared shingle of a linked pair has all the others it needs after it in both prefixes: its slack.
-        rows = members.select("rep", "n", "component", "size", "chunk", F.size("prefix").alias("p"), F.posexplode("prefix").alias("pos", "token"))
+        rows = members.select("rep", "n", "component", "size", "grp", "chunk", F.size("prefix").alias("p"), F.posexplode("prefix").alias("pos", "token"))
         rows = rows.withColumn("slack", F.col("p") - F.col("pos")).drop("p", "pos")
         # Far fewer than the prefixes hold: tokens that several components share.
         rows = stored(rows.join(self._open(rows).hint("shuffle_merge"), "token"))
@@ -228,29 +313,31 @@ class JaccardJoin:
         second = rows.withColumn("band", band).groupBy("token", "band").agg(F.min_by("rep", F.xxhash64("token", "rep")).alias("a"), F.min_by("component", F.xxhash64("token", "rep")).alias("c"), F.min("component").alias("x"), F.max("component").alias("y"))
         second = second.where("x <> y").select("token", "band", "a", "c")
         pairs = rows.withColumn("band", band).join(second.hint("shuffle_merge"), ["token", "band"]).where("component <> c").select("a", F.col("rep").alias("b")).distinct()
-        again = self.compare(pairs, prefixes)
+        nearer, again = self.compare(pairs, prefixes)
+        near = near.unionAll(nearer)
         if again.limit(1).count():
             links = stored(links.unionAll(again))
             parts = stored(connected_components(links))
+        if nearer.limit(1).count():
             drop_stored(members)
-            members = self._members(prefixes, parts)
-            rows = rows.drop("component", "size", "chunk").join(members.select("rep", "component", "size", "chunk").hint("shuffle_merge"), "rep")
+            members = self._members(prefixes, parts, near)
+            rows = rows.drop("component", "size", "grp", "chunk").join(members.select("rep", "component", "size", "grp", "chunk").hint("shuffle_merge"), "rep")
             rows = stored(rows.join(self._open(rows).hint("shuffle_merge"), "token"))
-        matrix = rows.groupBy("token", F.col("component").alias("g"), F.col("chunk").alias("gc"), F.col("size").alias("gs")).agg(F.max("slack").alias("room"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+        # Of a pair the class of the lesser component, by size and then name, asks.
+        top = F.max(F.struct("size", "component"))
+        matrix = rows.groupBy("token", F.col("grp").alias("g"), F.col("chunk").alias("gc")).agg(F.max("slack").alias("room"), F.min("n").alias("lo"), F.max("n").alias("hi"), top.alias("top"))
         low = f"greatest(lo, ({self.num} * n + {self.den - 1}) div {self.den})"
         high = f"least(hi, ({self.den} * n) div {self.num})"
         least = self.least_need("n", low, high)
         asked = rows.select("token", "rep", "n", "slack", "component", "size").join(matrix.hint("shuffle_merge"), "token")
-        asked = asked.where("component <> g and struct(size, component) < struct(gs, g)")
+        asked = asked.where("struct(size, component) < top")
         asked = asked.where(f"{self.num} * lo <= {self.den} * n and {self.num} * n <= {self.den} * hi and least(slack, room) >= {least}")
-        met = asked.select("rep", "g", "gc").distinct()
-        unions = members.groupBy(F.col("component").alias("g"), F.col("chunk").alias("gc")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("union"))
+        met = asked.select("rep", "component", "size", "g", "gc").distinct()
+        unions = members.groupBy(F.col("grp").alias("g"), F.col("chunk").alias("gc")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.array_distinct(F.flatten(F.collect_list("prefix"))).alias("union"))
         # A class carries its short prefix to the group; the union stays where it was made.
         met = met.join(prefixes.hint("shuffle_merge"), "rep").join(unions.hint("shuffle_merge"), ["g", "gc"])
-        opened = met.where(f"size(array_intersect(prefix, union)) >= {least}").select("rep", "g", "gc")
-        inside = members.select(F.col("rep").alias("b"), F.col("component").alias("g"), F.col("chunk").alias("gc"))
-        more = opened.join(inside.hint("shuffle_merge"), ["g", "gc"]).select(F.col("rep").alias("a"), "b").distinct()
-        late = self.compare(more, prefixes)
+        opened = stored(met.where(f"size(array_intersect(prefix, union)) >= {least}").select("rep", "component", "size", "g", "gc"))
+        late = self.compare_blocks(opened, members)
         final = parts
         if late.limit(1).count():
             final = stored(connected_components(links.unionAll(late)))

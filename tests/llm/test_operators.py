@@ -267,6 +267,14 @@ def test_jaccard_least_need(spark, num):
     assert rows.where(bound != true).count() == 0
 
 
+def test_overlaps_of_blocks(monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMNS", 16)
+    rng = np.random.default_rng(4)
+    left, right = ([np.unique(rng.integers(0, 200, rng.integers(0, 60))).astype(np.uint64) for _ in range(k)] for k in (7, 9))
+    assert jaccard.overlaps(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+    assert jaccard.overlaps([left[0]], [np.zeros(0, np.uint64)]).tolist() == [[0]]
+
+
 def test_jaccard_odd(odd, none):
     got = {r.doc_id: r.component_id for r in jaccard.JaccardJoin(odd).link().collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, None: None, 7: 7, 8: 8, 9: 9}
