@@ -227,3 +227,29 @@ def passes(wanted, ids):
         return np.ones(len(ids), bool)
     at = filter_places(ids)
     return (wanted.value[at >> 3] >> (at & 7).astype("uint8")) & 1 == 1
+
+
+#: A key is hot when it holds more than a HOT_SHARE-th of all rows, so there are fewer than HOT_SHARE of them.
+HOT_SHARE = 256
+
+
+def join_by_counts(rows: DataFrame, table: DataFrame, on: list[str], count_col: str, n: int, how: str = "inner") -> DataFrame:
+    """A stored table of rows joined (inner or left) with a stored table that has one row a key and, in count_col, how many of the n rows hold the key.
+
+    The keys of more than n / HOT_SHARE rows are fewer than HOT_SHARE, whatever the data, so they are broadcast and their rows
+    stay where they are. All other keys meet in a shuffle, in which no key has more than n / HOT_SHARE rows.
+    """
+    hot = F.col(count_col) > n / HOT_SHARE
+    few = table.where(hot)
+    lead = rows.join(F.broadcast(few), on)
+    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti")
+    return lead.unionByName(rest.join(table.where(~hot).hint("shuffle_merge"), on, how))
+
+
+def join_by_id(rows: DataFrame, table: DataFrame, id_col: str, how: str = "inner") -> DataFrame:
+    """A stored table of rows joined (inner or left) with a table of one row an id, some of whose ids very many rows may share. Null ids find nothing."""
+    known = rows.where(F.col(id_col).isNotNull())
+    sizes = known.groupBy(id_col).agg(F.count("*").alias("__rows"))
+    sized = stored(table.join(sizes.hint("shuffle_merge"), id_col))
+    out = join_by_counts(known, sized, [id_col], "__rows", rows.count(), how).drop("__rows")
+    return out if how == "inner" else out.unionByName(rows.where(F.col(id_col).isNull()), allowMissingColumns=True)

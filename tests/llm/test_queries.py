@@ -10,8 +10,8 @@ def test_query_equals_sql(spark, sf_dir, name):
     same(registry.QUERIES[name](spark, sf_dir), registry.ORACLE_SQL[name], sf_dir)
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11))
+def test_all_thirteen_are_registered():
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, sf_dir):
