@@ -77,15 +77,17 @@ def common_part(prefixes: Column, least: int = 8) -> Column:
     """The longest text, of at least `least` characters, that the last 80 characters of all prefixes hold; the first of equal length."""
     tails = F.transform(prefixes, lambda p: F.right(p, F.lit(80)))
     head = F.get(tails, F.lit(0))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(head)))
-    # The longest piece from each start that all hold: whatever starts there and holds is a prefix of it.
-    def longest(i: Column) -> Column:
-        sizes = F.sequence(F.lit(0), F.length(head) - i + 1)
-        held = F.filter(sizes, lambda n: F.forall(tails, lambda t: t.contains(F.substring(head, i, n))))
-        return F.struct(F.coalesce(F.array_max(held), F.lit(0)).alias("n"), (-i).alias("at"))
+    # The window on head grows while all tails hold it, and else moves on by one: it never needs to shrink.
+    state = F.struct(F.lit(1).alias("i"), F.lit(0).alias("n"), F.lit(1).alias("at"))
 
-    best = F.array_max(F.transform(starts, longest))
-    return F.when(best["n"] >= least, F.substring(head, -best["at"], best["n"]))
+    def step(s: Column, _: Column) -> Column:
+        longer = F.substring(head, s["i"], s["n"] + 1)
+        fits = (s["i"] + s["n"] <= F.length(head)) & F.forall(tails, lambda t: t.contains(longer))
+        grown = F.struct(s["i"].alias("i"), (s["n"] + 1).alias("n"), s["i"].alias("at"))
+        return F.when(fits, grown).otherwise(F.struct((s["i"] + 1).alias("i"), s["n"].alias("n"), s["at"].alias("at")))
+
+    best = F.aggregate(F.sequence(F.lit(1), 2 * F.greatest(F.lit(1), F.length(head))), state, step)
+    return S.let(best, lambda b: F.when(b["n"] >= least, F.substring(head, b["at"], b["n"])))
 
 
 def generated_rules(found: DataFrame, least: int = 3, most: int = 50) -> DataFrame:
@@ -99,7 +101,8 @@ def generated_rules(found: DataFrame, least: int = 3, most: int = 50) -> DataFra
     order = [F.desc("ts")] if "ts" in found.columns else []
     some = last_of(keyed, ["field", "key"], [*order, F.col("doc_id").asc(), F.col("prefix").asc()], most)
     groups = some.groupBy("field", "key").agg(F.sort_array(F.collect_list("prefix")).alias("ps"), F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n")).where(F.col("n") >= least)
-    part = groups.withColumn("part", common_part(F.col("ps"))).where("part is not null")
+    # explode makes each part once, however often it is used below
+    part = groups.select("field", "n_docs", F.explode(F.array(common_part(F.col("ps")))).alias("part")).where("part is not null")
     pattern = F.concat(S.generalize(F.ltrim("part")), F.lit(r"[ \t]*([^\n]{1,200})"))
     return part.select("field", pattern.alias("pattern"), F.col("n_docs").cast("int").alias("n_docs"), new_confidence(F.col("n_docs")).alias("confidence"))
 

@@ -9,9 +9,9 @@ from docloom.functions import scalars as S
 
 
 def contexts(docs: DataFrame, values: DataFrame, size: int = 150) -> DataFrame:
-    """values(doc_id, field, value) with the text before and after the value and the heading above, where it stands in its document."""
+    """values(doc_id, field, value, ...) with the text before and after the value and the heading above, where it stands in its document."""
     both = values.join(docs.select("doc_id", "text").hint("shuffle_merge"), "doc_id")
-    return both.select("doc_id", "field", "value", F.inline(F.array(S.prefix_suffix("text", "value", size))))
+    return both.select(*values.columns, F.inline(F.array(S.prefix_suffix("text", "value", size))))
 
 
 def learned_patterns(found: DataFrame, least_prefix: int = 8) -> DataFrame:

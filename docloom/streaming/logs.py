@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.operators import analytics as A
+from docloom.shared import folder
 from docloom.sources.logs import as_log
 
 
@@ -68,18 +70,23 @@ def correction_counter(events: DataFrame, every: int = 5) -> DataFrame:
     return wrong.groupBy("field").applyInPandasWithState(step, "field string, n_corrections long, n_signals long", "total long, fired long", "append", GroupStateTimeout.NoTimeout)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the length of a block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what is there now and gives its rows, through Parquet in the shared folder (append) or memory."""
-    import uuid
-
-    spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        base = "file:///tmp/docloom-streams"
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    name = f"docloom_{uuid.uuid4().hex}"
+    spark, path = stream.sparkSession, folder(stream.sparkSession)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/state")
     query = writer.format("memory").queryName(name).start() if mode != "append" else writer.format("parquet").option("path", f"{path}/rows").start()
     query.awaitTermination()

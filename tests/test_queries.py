@@ -1,10 +1,10 @@
 import pytest
 
-from docloom.plans import corpus, learning, logs, notices, tenders
+from docloom.plans import adaptive, corpus, learning, logs, notices, streams, tenders
 from tests.oracle import same
 
-ALL = tenders.QUERIES | logs.QUERIES | corpus.QUERIES | notices.QUERIES | learning.QUERIES
-SQL = tenders.ORACLE_SQL | logs.ORACLE_SQL | corpus.ORACLE_SQL | notices.ORACLE_SQL | learning.ORACLE_SQL
+ALL = tenders.QUERIES | logs.QUERIES | corpus.QUERIES | notices.QUERIES | learning.QUERIES | streams.QUERIES | adaptive.QUERIES
+SQL = tenders.ORACLE_SQL | logs.ORACLE_SQL | corpus.ORACLE_SQL | notices.ORACLE_SQL | learning.ORACLE_SQL | streams.ORACLE_SQL | adaptive.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
