@@ -25,12 +25,13 @@ def first_label(text: Column, table: dict[str, str]) -> Column:
 
 
 def money(text: Column, *patterns: str) -> Column:
-    return S.first_match(text, list(patterns), lambda x: S.parse_amount(x))
+    """The first amount of ordered patterns; 1.234 without decimals is read as thousands, as Italian texts mean it."""
+    return S.first_match(text, list(patterns), lambda x: S.parse_amount(x, dot3_thousands=True))
 
 
 def day(text: Column, *patterns: str) -> Column:
     """The date that a pattern captures, written with slashes, dots or dashes."""
-    return S.first_match(text, list(patterns), lambda x: F.to_date(F.regexp_replace(x, r"[.\-]", "/"), "d/M/yyyy"))
+    return S.first_match(text, list(patterns), lambda x: F.try_to_date(F.regexp_replace(x, r"[.\-]", "/"), "d/M/yyyy"))
 
 
 def identifiers(text: Column) -> dict[str, Column]:
@@ -68,12 +69,16 @@ def contracting_body(text: Column) -> dict[str, Column]:
 
 
 def responsible(text: Column) -> dict[str, Column]:
-    """Who answers for the award (RUP) and who for the execution (director), by the words around each name."""
-    title = r"(?:(?:Dott|Ing|Arch|Geom|Avv)\.(?:ssa)?\s+)?"
-    person = r"((?-iu:[A-ZÀ-Ú][a-zà-ú']+(?:[ \t]+[A-ZÀ-Ú][a-zà-ú']+)+))"
+    """Who answers for the award (RUP) and who for the execution (director), by the words around each name; a name ends before words such as Tel or Email."""
+    title = r"(?:(?:il|la)\s+|l['’]\s*)?(?:(?:dott|ing|arch|geom|avv|prof)\b\.?(?:\s?ssa\b)?\.?\s*)"
+    no_name = r"(?!(?i:tel|telefono|fax|e-?mail|pec|indirizzo|documento|firmato|responsabile|unico|procedimento|progetto|servizio|settore|direzione|procedura|digitale|informatico)\b)"
+    word = rf"{no_name}[A-ZÀ-Ú][a-zà-ú']+"
+    person = rf"((?-iu:{word}(?:[ \t]+{word})+))"
+    label = r"(?:responsabile\s+(?:unico\s+)?del\s+(?:procedimento|progetto)|\bR\.?U\.?P\b\.?)"
+    after = r"[\s:,(\-–]*(?:è\s+)?"
     return {
-        "rup": S.first_match(text, [rf"responsabile\s+unico\s+del\s+(?:procedimento|progetto)\s*[:\-–]?\s*(?:è\s+)?{title}{person}", rf"\bR\.?U\.?P\.?\s*[:\-–]\s*{title}{person}"]),
-        "director": S.first_match(text, [rf"direttore\s+dell['’]esecuzione\s*[:\-–]?\s*(?:è\s+)?{title}{person}"]),
+        "rup": S.first_match(text, [rf"{label}{after}{title}*{person}", rf"{label}[\s\S]{{0,400}}?\b{title}{person}"]),
+        "director": S.first_match(text, [rf"direttore\s+dell['’]esecuzione{after}{title}*{person}"]),
     }
 
 
@@ -87,24 +92,69 @@ def numbers(text: Column) -> dict[str, Column]:
     }
 
 
-# Sources of funding, in order.
-FUNDING = {"PNRR": r"\bPNRR\b|piano\s+nazionale\s+di\s+ripresa", "PNC": r"\bPNC\b", "FESR": r"\bFESR\b", "FSE": r"\bFSE\+?\b", "FSC": r"\bFSC\b", "Mutuo": r"\bmutuo\b|cassa\s+depositi", "Fondi regionali": r"fondi\s+regionali", "Fondi ministeriali": r"fondi\s+(?:ministeriali|statali)", "Fondi comunali": r"fondi\s+comunali", "Bilancio": r"fondi\s+(?:propri|di\s+bilancio)|mezzi\s+propri"}
+# The source of funding, by the first label whose words occur.
+FUNDING = {
+    "PNRR": r"PNRR|piano\s+nazionale\s+di\s+ripresa",
+    "FESR": r"FESR|fondo\s+europeo\s+di\s+sviluppo\s+regionale",
+    "PON/POR": r"\b(?:PON|POR|PR)\s+[a-z\s]+20\d{2}",
+    "Decreto Dirigenziale": r"decreto\s+(?:dirigenziale|ministeriale)",
+    "Fondi propri": r"(?:bilancio|fondi)\s+(?:propri|comunali|regionali)",
+}
+# All sources of funding, in order.
+FUNDING_SOURCES = {
+    "PNRR": r"PNRR",
+    "PNRR M.7-1.7 Repower": r"\bM\.?7[^\n]*repower|misura\s+7|\bM7\s*[-.]?\s*1\.7",
+    "Fondo Complementare PNC": r"fondo\s+complementare|PNC",
+    "Superbonus/Ecobonus": r"superbonus|110\s*%|ecobonus",
+    "Conto Termico": r"conto\s+termico",
+    "Certificati Bianchi/TEE": r"certificat[oi]\s+bianch|\bTEE\b",
+    "GSE": r"\bGSE\b|gestore\s+(?:dei\s+)?servizi\s+energetici",
+    "Risorse proprie del concessionario": r"risorse\s+proprie\s+(?:del\s+)?(?:concession|operat)",
+    "Fondi di Bilancio": r"fond[oi]\s+(?:di\s+)?bilancio",
+    "Fondi regionali/europei": r"fond[oi]\s+(?:region|POR|FSC|FESR)",
+}
 
 
 def funding(text: Column) -> dict[str, Column]:
-    """The first source of an ordered list, and all that are named."""
-    return {"funding": first_label(text, FUNDING), "all_funding": labels(text, FUNDING)}
-
-
-# E-procurement platforms and who runs them.
-PLATFORMS = {"Sintel": "ARIA", "MePA": "Consip", "START": "Regione Toscana", "Tuttogare": "Studio Amica", "Net4market": "Net4market", "EmPULIA": "InnovaPuglia", "SATER": "Intercent-ER", "Traspare": "L&G Solution", "Maggioli": "Maggioli"}
+    """The source of funding by an ordered list, and all that are named."""
+    return {"funding": first_label(text, FUNDING), "all_funding": labels(text, FUNDING_SOURCES)}
+
+
+# Words that name an e-procurement platform, in order, with its name and who runs it.
+PLATFORMS = {
+    "sintel": ("Sintel", "ARIA S.p.A."),
+    "tuttogare": ("TuttoGare", None),
+    "net4market": ("Net4market", None),
+    "mepa": ("MePA", "Consip"),
+    "acquistinretepa": ("AcquistinretePa", "Consip"),
+    "start": ("START", "Regione Toscana"),
+    "s.tel.la": ("S.TEL.LA.", "Regione Lazio"),
+    "stella": ("S.TEL.LA.", "Regione Lazio"),
+    "traspare": ("TrasparE", None),
+    "sardegna cat": ("SardegnaCat", "Regione Sardegna"),
+    "empulia": ("EmPULIA", "InnovaPuglia"),
+    "gare telematiche": ("Gare Telematiche", None),
+    "appalti&contratti": ("Appalti&Contratti", None),
+    "portale appalti": ("Portale Appalti", None),
+    "maggioli": ("Maggioli", None),
+    "asmecomm": ("Asmecomm", None),
+    "intercent-er": ("Intercent-ER", "Regione Emilia-Romagna"),
+    "intercenter": ("Intercent-ER", "Regione Emilia-Romagna"),
+    "ariaspa": ("Sintel", "ARIA S.p.A."),
+    "albofornitori": ("Albo Fornitori", None),
+    "e-procurement": ("e-Procurement", None),
+}
+# Parts of a platform's host name.
+PLATFORM_HOSTS = ["aria", "sintel", "tuttogare", "net4market", "traspare", "acquistinretepa", "start.toscana", "empulia", "intercent", "maggioli", "asmecomm", "portaleappalti", "mepa"]
 
 
 def platform(text: Column) -> dict[str, Column]:
-    """The platform whose name stands first in the text, who runs it, and the web address near the word."""
-    places = [F.struct(F.nullif(F.regexp_instr(text, F.lit(rf"(?i)\b{k}\b")), F.lit(0)).alias("at"), F.lit(k).alias("name"), F.lit(v).alias("runner")) for k, v in PLATFORMS.items()]
-    first = F.array_min(F.filter(F.array(*places), lambda x: x["at"].isNotNull()))
-    return {"platform": first["name"], "runner": first["runner"], "url": S.first_match(text, [r"piattaforma[^\n]{0,200}?(https?://[^\s,;)]+)"]), "url_host": F.parse_url(S.first_match(text, [r"piattaforma[^\n]{0,200}?(https?://[^\s,;)]+)"]), F.lit("HOST"))}
+    """The first platform of an ordered list that the text names, who runs it, and its web address: one whose host is a platform's, else the one near the word platform."""
+    escape = lambda w: w.replace(".", r"\.")
+    named = F.coalesce(*[F.when(has(text, rf"\b{escape(k)}\b"), F.struct(F.lit(n).alias("name"), F.lit(r).cast("string").alias("runner"))) for k, (n, r) in PLATFORMS.items()])
+    hosts = "|".join(escape(h) for h in PLATFORM_HOSTS)
+    url = F.regexp_replace(S.first_match(text, [rf"(https?://[^/\s]*(?:{hosts})\S*)", r"(?:piattaforma|telematica)[^.\n]{0,200}?(https?://[^\s,;)]+)"]), r"[.,;)]+$", "")
+    return {"platform": named["name"], "runner": named["runner"], "url": url, "url_host": F.try_parse_url(url, F.lit("HOST"))}
 
 
 def procedure(text: Column) -> dict[str, Column]:
@@ -161,8 +211,11 @@ def lot_constraints(text: Column) -> dict[str, Column]:
 
 def amounts(text: Column) -> dict[str, Column]:
     """Base amount, safety and labour costs; fixed and discountable parts from explicit amounts only; price revision; place."""
-    base = money(text, r"importo\s+(?:a\s+base|posto\s+a\s+base)\s+(?:di\s+gara|d['’]asta)\s*:?\s*" + _EUR, r"base\s+d['’]asta\s*:?\s*" + _EUR)
-    safety = money(text, r"(?:oneri|costi)\s+(?:della|per\s+la)\s+sicurezza[^€\d\n]{0,40}" + _EUR)
+    # The amount nearest to the label that has a currency sign on either side; numbers without one between them don't count. Else one right behind the label.
+    sign = r"(?:€|\beuro\b|\bEUR\b)"
+    forms = lambda label: [rf"{label}[^€]{{0,100}}?(?:€\.?\s*)?((?<={sign}\.?\s{{0,3}})\d[\d.,]*|(?<![\d.,])\d[\d.,]*(?=\s*{sign}))", rf"{label}[^€\d\n]{{0,60}}(\d[\d.,]*)"]
+    base = S.first_match(text, forms(r"importo\s+(?:posto\s+)?a\s+base\s+(?:di\s+|d['’]\s*)(?:gara|asta)") + forms(r"base\s+d['’]\s*asta"), lambda x: S.let(S.parse_amount(x, dot3_thousands=True), lambda v: F.when(v > 100, v)))
+    safety = money(text, *forms(r"(?:oneri|costi)\s+(?:della|per\s+la)\s+sicurezza"))
     labour = money(text, r"costi?\s+della\s+manodopera[^€\d\n]{0,40}" + _EUR)
     fixed = F.coalesce(labour, safety, F.lit(0).cast("decimal(18,2)"))
     return {
@@ -178,33 +231,74 @@ def amounts(text: Column) -> dict[str, Column]:
 
 
 def categories(text: Column) -> Column:
-    """Work categories in order of their first place: code, kind (ENG for engineering services, SOA for works)."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\b((?:IA|IB|[ESDGTVP])\.\d{2}|O[GS]\s?\d{1,2}(?:-[AB])?)\b"), 1), lambda x: F.regexp_replace(x, r"\s", "")))
+    """Work categories in order of their first place, with or without their dot: code, kind (ENG for engineering services, SOA for works)."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\b((?:IA|IB|[ESD])\.?\d{2}|[GTVP]\.\d{2}|O[GS]\s?\d{1,2}(?:-[AB])?)\b"), 1), lambda x: S.category_code(F.regexp_replace(x, r"\s", ""))))
     return F.transform(found, lambda c: F.struct(c.alias("code"), F.when(c.rlike("^O[GS]"), "SOA").otherwise("ENG").alias("kind")))
 
 
-def near(text: Column, pattern: str, wanted: str, unwanted: str, window: int = 120) -> Column:
-    """The first date a pattern captures whose surroundings before it name `wanted` and not, nearer to it, `unwanted`."""
-    hits = F.regexp_extract_all(text, F.lit(rf"(?isu)([^\n]{{0,{window}}}?{pattern})"), 1)
-    last = lambda x, p: F.length(F.regexp_extract(x, rf"(?isu)^(.*)(?:{p})", 1))
-    ok = F.filter(hits, lambda x: x.rlike(f"(?isu){wanted}") & (~x.rlike(f"(?isu){unwanted}") | (last(x, wanted) > last(x, unwanted))))
-    return F.nullif(F.regexp_extract(F.get(ok, F.lit(0)), rf"(?isu){pattern}", 1), F.lit(""))
+MONTHS = ["gennaio", "febbraio", "marzo", "aprile", "maggio", "giugno", "luglio", "agosto", "settembre", "ottobre", "novembre", "dicembre"]
+_ANY_DATE = rf"(?<![\d/.\-])\d{{1,2}}[/.\-]\d{{1,2}}[/.\-](?:\d{{4}}|\d{{2}})(?![\d/])|\b\d{{1,2}}°?\s+(?:{'|'.join(MONTHS)})\s+\d{{4}}\b"
+#: Words that tell what a date is for: what a wording that continues (an offer's kind, its validity, a decision) isn't about is "other".
+_ROLES = {
+    "opening": r"apertura\s+(?:delle\s+|dei\s+)?(?:buste|offerte|plichi)|prima\s+seduta|sedut[ae](?:\s+pubblic[ahe]+)?",
+    "questions": r"chiariment\w*|quesit\w*",
+    "other": r"offert[ae]\s+(?:economicamente|tecnic|economic)\w*|validit[aà]\s+(?:dell['’]\s*)?offert\w+|determin\w+|deliber\w+|decret\w+|d\.?\s?lgs",
+    "offers": r"offert[ae]",
+}
+
+
+def read_date(x: Column) -> Column:
+    """A date in figures, its year of two or four digits, or with the name of its month; null if there is no such day."""
+    low = F.regexp_replace(F.lower(F.trim(x)), r"[.\-\s°]+", "/")
+    for k, m in enumerate(MONTHS, 1):
+        low = F.replace(low, F.lit(m), F.lit(str(k)))
+    return F.try_to_date(F.regexp_replace(low, r"/(\d{2})$", "/20$1"), "d/M/yyyy")
+
+
+def dated(text: Column, window: int = 500) -> Column:
+    """Every date of a text in order: day, what it is for (by the last of the _ROLES in the `window` characters before it, across lines, or "deadline" if only a
+    term is mentioned), and the hour beside it. A date that something is due by ("entro") isn't an opening's."""
+    found = F.regexp_extract_all(text, F.lit(f"(?iu)({_ANY_DATE})"), 1)
+    between = F.split(text, f"(?iu)(?:{_ANY_DATE})")
+    # What stands before each date, carried on from part to part.
+    start = F.struct(F.lit("").alias("tail"), F.array().cast("array<string>").alias("all"))
+    step = lambda s, p: S.let(F.right(F.concat(s["tail"], F.lit(" "), p), F.lit(window)), lambda t: F.struct(t.alias("tail"), F.array_append(s["all"], t).alias("all")))
+    before = F.aggregate(F.slice(between, F.lit(1), F.size(found)), start, step, lambda s: s["all"])
+    words = "|".join(_ROLES.values())
+    hour = r"(\d{1,2}[:.,]\d{2})"
+
+    def role(word: Column) -> Column:
+        return F.coalesce(*[F.when(word.rlike(f"(?iu)^(?:{p})$"), F.lit(k)) for k, p in _ROLES.items()])
+
+    def one(day: Column, i: Column) -> Column:
+        tail, rest = F.get(before, i), F.get(between, i + 1)
+        marks = F.transform(F.regexp_extract_all(tail, F.lit(f"(?iu)({words})"), 1), role)
+        since = F.regexp_extract(tail, rf"(?isu)^.*(?:{_ROLES['opening']})(.*)$", 1)
+        due = (F.element_at(F.concat(F.array(F.lit("none")), marks), F.lit(-1)) == "opening") & since.rlike(r"(?iu)\bentro\b")
+        used = F.when(due, F.filter(marks, lambda m: m != "opening")).otherwise(marks)
+        term = F.when(F.right(tail, F.lit(200)).rlike(r"(?iu)\b(?:entro|scadenza|termine)\b"), "deadline").otherwise("none")
+        at = F.coalesce(F.nullif(F.regexp_extract(rest, rf"(?iu)^[\s,;]*(?:alle\s+|h\.?\s*)?(?:ore\s+)?{hour}", 1), F.lit("")), F.nullif(F.regexp_extract(tail, rf"(?iu)ore\s+{hour}\s+(?:del\s+)?(?:giorno\s+)?$", 1), F.lit("")))
+        return F.struct(read_date(day).alias("day"), F.coalesce(F.try_element_at(used, F.lit(-1)), term).alias("role"), F.translate(at, ".,", "::").alias("hour"))
+
+    return F.filter(F.transform(found, one), lambda x: x["day"].isNotNull())
 
 
 def timing(text: Column) -> dict[str, Column]:
-    """Offer deadline told apart from the one for questions by the words before each date, its hour, opening, validity (180 days unless stated),
-    duration in days with its wording, signing and standstill terms."""
-    offer, question = r"offert[ae]", r"chiariment|quesit"
-    as_date = lambda x: F.to_date(F.regexp_replace(x, r"[.\-]", "/"), "d/M/yyyy")
+    """Deadlines for offers (else the first of no stated kind) and questions and the opening, each told by the words before it, the hour of the first; validity (180 days unless
+    stated), duration in days with its wording, duration of the procedure in months, signing and standstill terms."""
+    dates = dated(text)
+    of = lambda role: F.get(F.filter(dates, lambda x: x["role"] == role), F.lit(0))
+    offers = F.coalesce(of("offers"), of("deadline"))
     days = lambda p: S.first_match(text, [p]).cast("int")
-    unit = lambda u: days(rf"durata[^\n]{{0,60}}?(\d{{1,4}})\s+{u}")
+    unit = lambda u: days(rf"durata(?!\s+(?:massima\s+)?della?\s+procedur)[^\n]{{0,60}}?(\d{{1,4}})\s+{u}")
     return {
-        "offers_until": as_date(near(text, _DATE, offer, question + "|apertura|seduta")),
-        "offers_hour": S.first_match(text, [r"offert[ae][^\n]{0,60}?ore\s+(\d{1,2}[:.]\d{2})"]),
-        "questions_until": as_date(near(text, _DATE, question, offer)),
-        "opening": as_date(near(text, _DATE, r"apertura\s+delle|seduta\s+pubblica", question)),
+        "offers_until": offers["day"],
+        "offers_hour": offers["hour"],
+        "questions_until": of("questions")["day"],
+        "opening": of("opening")["day"],
         "validity_days": F.coalesce(days(r"(?:validit[aà]|vincolat[ao])[^\n]{0,80}?(\d{2,3})\s+giorni"), F.lit(180)),
         "duration_days": F.coalesce(unit("giorni"), unit("mesi") * 30, unit("anni") * 365),
+        "procedure_months": days(r"durata\s+(?:massima\s+)?della?\s+procedur\w+[^.]{0,80}?(\d{1,3})\s*mesi"),
         "signing_days": days(r"stipula[^\n]{0,60}?entro\s+(\d{1,3})\s+giorni"),
         "standstill_days": days(r"stand\s*still[^\n]{0,40}?(\d{1,3})\s+giorni"),
     }
@@ -260,11 +354,25 @@ def nested_criteria(rows: Column) -> Column:
     return F.transform(tops, under)
 
 
+def points(text: Column, part: str, least: int) -> Column:
+    """Most points of the technical or economic part: stated behind it or before it, as a score, or alone at a line's end; the first from `least` to 100, form by form."""
+    offer = rf"offerta\s+{part}"
+    most = r"(?:max\.?\s*|massimo\s+|fino\s+a\s+)?(?:punti\s+)?"
+    forms = [
+        rf"{offer}\s*[:=(]?\s*{most}(\d{{1,3}})\s*(?:punti\b|pt\b|/\s*100|\))",
+        rf"(\d{{1,3}})\s*punt[io]\s*(?:[-–]\s*|(?:per|alla)\s+)?(?:l['’]\s*)?{offer}",
+        rf"punteggio\s+(?:massimo\s+)?(?:per\s+)?(?:dell['’]\s*|l['’]\s*)?{offer}\s*[:=]?\s*(\d{{1,3}})\b",
+        rf"{offer}\s*[:=]?\s*(\d{{1,3}})[ \t]*(?:\n|$)",
+    ]
+    hits = lambda p: F.transform(F.regexp_extract_all(text, F.lit(f"(?iumd){p}"), 1), lambda x: x.cast("int"))
+    return F.coalesce(*[F.get(F.filter(hits(p), lambda v: v.between(least, 100)), F.lit(0)) for p in forms])
+
+
 def scoring(text: Column) -> dict[str, Column]:
     """Most points of each part, threshold, rescaling, formula, decimals, anomaly check."""
     return {
-        "technical": S.first_match(text, [r"offerta\s+tecnica\s*[:=]?\s*(?:massimo\s+|max\.?\s+)?(\d{1,3})\s*punti", r"(\d{1,3})\s+punti[^\n.]{0,20}offerta\s+tecnica"]).cast("int"),
-        "economic": S.first_match(text, [r"offerta\s+economica\s*[:=]?\s*(?:massimo\s+|max\.?\s+)?(\d{1,3})\s*punti", r"(\d{1,3})\s+punti[^\n.]{0,20}offerta\s+economica"]).cast("int"),
+        "technical": points(text, "tecnica", 5),
+        "economic": points(text, "economica", 1),
         "threshold": S.first_match(text, [r"soglia\s+(?:minima\s+)?di\s+sbarramento[^\d\n]{0,60}(\d{1,3})"]).cast("int"),
         "rescaled": has(text, r"riparametr"),
         "formula": first_label(text, {"lineare": r"formula\s+(?:\w+\s+)?lineare|interpolazione\s+lineare", "bilineare": r"bilineare", "quadratica": r"quadratica"}),
@@ -364,10 +472,10 @@ def criteria_sum(rows: Column, technical: Column) -> Column:
 
 
 def code_formats(cup: Column, lot_rows: Column) -> Column:
-    """Messages for codes that don't have their format: the CUP, and the CIG of each lot."""
-    wrong = F.filter(lot_rows, lambda x: x["cig"].isNotNull() & ~x["cig"].rlike("^[A-Z0-9]{10}$"))
+    """Messages for codes that don't have their format: the CUP (12 characters or more), and the CIG of each lot."""
+    wrong = F.filter(lot_rows, lambda x: x["cig"].isNotNull() & ~F.upper(x["cig"]).rlike("^[A-Z0-9]{10}$"))
     lots_ = F.transform(wrong, lambda x: F.concat(F.lit("CIG lotto "), x["lot"].cast("string")))
-    return F.concat(F.filter(F.array(F.when(cup.isNotNull() & ~cup.rlike(r"^[A-Z]\d{2}[A-Z]\d{11}$"), F.lit("CUP"))), lambda x: x.isNotNull()), lots_)
+    return F.concat(F.filter(F.array(F.when(cup.isNotNull() & ~F.regexp_replace(F.upper(cup), r"\s", "").rlike(r"^[A-Z]\d{2}[A-Z]\d{8,}$"), F.lit("CUP"))), lambda x: x.isNotNull()), lots_)
 
 
 def matches_with_context(text: Column, pattern: str, around: int = 50, most: int = 5) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from docloom.operators import packs as P
 from docloom.sources.notices import render_notices
+from docloom.sources.varied import render_varied
+
 
 def _text() -> Column:
     return F.col("text")
@@ -52,7 +54,29 @@ def lettered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_notices(spark, sf_dir).select("doc_id", F.explode(P.lettered_items(_text())).alias("x")).select("doc_id", "x.letter", "x.item")
 
 
+def _varied(**cols):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return render_varied(spark, sf_dir).select("doc_id", *[f(_text()).alias(k) for k, f in cols.items()])
+
+    return run
+
+
+def code_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages for project codes of 11 to 15 characters, some in small letters or with blanks, and for lots' codes of 9 or 10."""
+    k = F.col("c_custkey")
+    cup = F.concat(F.when(k % 5 == 0, "c").otherwise("C"), F.lit("12B"), F.when(k % 3 == 0, " ").otherwise(""), F.lpad(k.cast("string"), 7, "0"), F.substring(F.lit("1234"), F.lit(1), (k % 5).cast("int")))
+    lots = F.array(F.struct(F.lit(1).alias("lot"), F.lit("A123456789").alias("cig")), F.struct(F.lit(2).alias("lot"), F.when(k % 7 == 0, "A12345678").when(k % 7 != 1, "a123456789").alias("cig")))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("doc_id"), P.code_formats(F.when(k % 11 != 0, cup), lots).alias("messages"))
+
+
 QUERIES = {
+    "varied_deadlines": _varied(offers=lambda t: P.timing(t)["offers_until"], hour=lambda t: P.timing(t)["offers_hour"], questions=lambda t: P.timing(t)["questions_until"], opening=lambda t: P.timing(t)["opening"]),
+    "varied_amounts": _varied(base=lambda t: P.amounts(t)["base"], safety=lambda t: P.amounts(t)["safety"]),
+    "varied_scores": _varied(technical=lambda t: P.scoring(t)["technical"], economic=lambda t: P.scoring(t)["economic"]),
+    "varied_people": _varied(rup=lambda t: P.responsible(t)["rup"], director=lambda t: P.responsible(t)["director"]),
+    "varied_categories": _varied(codes=lambda t: F.transform(P.categories(t), lambda x: x["code"])),
+    "varied_platforms": _varied(platform=lambda t: P.platform(t)["platform"], runner=lambda t: P.platform(t)["runner"], host=lambda t: P.platform(t)["url_host"], funding=lambda t: P.funding(t)["funding"], all_funding=lambda t: P.funding(t)["all_funding"]),
+    "code_warnings": code_warnings,
     "notice_identifiers": _query(P.identifiers),
     "notice_body": _query(P.contracting_body, P.responsible),
     "notice_numbers": _query(P.numbers),
@@ -82,14 +106,25 @@ c_custkey % 11 AS e FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)
 """
 _SUM = "CASE WHEN abs(e + 70 - (e + 70)) <= 1 THEN 'pass' ELSE 'warn' END"
 _IT = "'EUR ' || translate(format('{:,.2f}', CAST(labour AS DOUBLE)), ',.', '.,')"
+_V = """WITH v AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS doc_id, DATE '2024-01-05' + CAST(c_custkey % 330 AS INTEGER) AS d FROM customer) """
 ORACLE_SQL = {
+    "varied_deadlines": _V + "SELECT doc_id, CAST(d + 40 AS DATE) AS offers, CASE WHEN k % 2 = 0 THEN '12:00' ELSE '9:30' END AS hour, CAST(d + 25 AS DATE) AS questions, CAST(d + 47 AS DATE) AS opening FROM v",
+    "varied_amounts": _V + "SELECT doc_id, CAST(250000 + k * 7 AS DECIMAL(18,2)) AS base, CAST(1500.5 + k % 900 AS DECIMAL(18,2)) AS safety FROM v",
+    "varied_scores": _V + "SELECT doc_id, CAST(65 + k % 20 AS INTEGER) AS technical, CAST(35 - k % 20 AS INTEGER) AS economic FROM v",
+    "varied_people": _V + "SELECT doc_id, ['Maria Bianchi', 'Luca De Neri', 'Anna Maria Verdi'][k % 3 + 1] AS rup, ['Giulia Conti', 'Paolo Serra'][k % 2 + 1] AS director FROM v",
+    "varied_categories": _V + "SELECT doc_id, [['E.20', 'IA.02', 'OG1'], ['S.03', 'D.04'], ['E.22', 'IB.08', 'OS30']][k % 3 + 1] AS codes FROM v",
+    "varied_platforms": _V + """SELECT doc_id, ['TuttoGare', 'S.TEL.LA.', 'Asmecomm', 'Intercent-ER', 'Sintel'][k % 5 + 1] AS platform, [NULL, 'Regione Lazio', NULL, 'Regione Emilia-Romagna', 'ARIA S.p.A.'][k % 5 + 1] AS runner,
+['bandi.tuttogare.it', 'gare.regione.lazio.it', 'app.asmecomm.it', 'intercenter.regione.it', 'www.sintel.regione.it'][k % 5 + 1] AS host,
+['FESR', 'Decreto Dirigenziale', 'PON/POR', NULL, 'PNRR', 'Fondi propri'][k % 6 + 1] AS funding,
+[[], ['Certificati Bianchi/TEE'], [], ['Conto Termico', 'GSE'], ['PNRR', 'PNRR M.7-1.7 Repower'], ['Fondi di Bilancio']][k % 6 + 1] AS all_funding FROM v""",
+    "code_warnings": """SELECT c_custkey AS doc_id, list_filter([CASE WHEN c_custkey % 11 <> 0 AND c_custkey % 5 = 0 THEN 'CUP' END, CASE WHEN c_custkey % 7 = 0 THEN 'CIG lotto 2' END], lambda x: x IS NOT NULL) AS messages FROM customer""",
     "notice_identifiers": _K + """SELECT doc_id, CASE WHEN k % 4 = 2 THEN [m, h1, h2] WHEN k % 4 = 3 THEN [m, h1, h2, h3] ELSE [m] END AS cigs, 'C' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') || 'B' || lpad(doc_id, 11, '0') AS cup, NULL AS cui, '71240000-2' AS cpv_main, ['71250000-' || CAST(k % 10 AS VARCHAR)] AS cpv_other
 FROM (SELECT *, upper(sha256(doc_id))[1:10] AS m, upper(sha256(doc_id || '-1'))[1:10] AS h1, upper(sha256(doc_id || '-2'))[1:10] AS h2, upper(sha256(doc_id || '-3'))[1:10] AS h3 FROM c)""",
     "notice_body": _K + """SELECT doc_id, CASE WHEN k % 2 = 0 THEN 'Comune di ' ELSE 'Azienda Sanitaria ' END || n_name AS body, CASE WHEN k % 2 = 0 THEN 'Comune' ELSE 'Azienda sanitaria' END AS body_type, CASE WHEN k % 6 = 0 THEN 'Consorzio Acque' END AS delegating, NULL AS purchasing_body,
 'gare' || doc_id || '@pec.example.it' AS pec, 'info' || doc_id || '@example.it' AS mail, CASE WHEN k % 2 = 1 THEN 'Via Roma, ' || CAST(k % 200 + 1 AS VARCHAR) END AS address, CASE k % 3 WHEN 0 THEN 'Mario Rossi' WHEN 1 THEN 'Anna Maria Bianchi' END AS rup, CASE WHEN k % 2 = 1 THEN 'Luca Verdi' END AS director FROM c""",
     "notice_numbers": _K + "SELECT doc_id, CAST(k AS BIGINT) AS tender_number, CAST(k % 500 + 1 AS INTEGER) AS decision_number, CAST(d - 30 AS DATE) AS decision_date FROM c",
-    "notice_funding": _K + """SELECT doc_id, CASE k % 4 WHEN 0 THEN 'PNRR' WHEN 1 THEN 'FESR' WHEN 2 THEN 'Mutuo' END AS funding, CASE k % 4 WHEN 0 THEN ['PNRR', 'Fondi comunali'] WHEN 1 THEN ['FESR'] WHEN 2 THEN ['Mutuo'] ELSE [] END AS all_funding,
-CASE k % 3 WHEN 0 THEN 'Sintel' WHEN 1 THEN 'MePA' END AS platform, CASE k % 3 WHEN 0 THEN 'ARIA' WHEN 1 THEN 'Consip' END AS runner, CASE WHEN k % 3 = 0 THEN 'https://gare.example.org/sintel' END AS url, CASE WHEN k % 3 = 0 THEN 'gare.example.org' END AS url_host FROM c""",
+    "notice_funding": _K + """SELECT doc_id, CASE k % 4 WHEN 0 THEN 'PNRR' WHEN 1 THEN 'FESR' END AS funding, CASE k % 4 WHEN 0 THEN ['PNRR'] WHEN 1 THEN ['Fondi regionali/europei'] WHEN 2 THEN ['Superbonus/Ecobonus', 'Conto Termico', 'GSE'] ELSE [] END AS all_funding,
+CASE k % 3 WHEN 0 THEN 'Sintel' WHEN 1 THEN 'MePA' END AS platform, CASE k % 3 WHEN 0 THEN 'ARIA S.p.A.' WHEN 1 THEN 'Consip' END AS runner, CASE WHEN k % 3 = 0 THEN 'https://gare.example.org/sintel' END AS url, CASE WHEN k % 3 = 0 THEN 'gare.example.org' END AS url_host FROM c""",
     "notice_procedure": _K + """SELECT doc_id, CASE WHEN k % 5 = 0 THEN 'Procedura negoziata' ELSE 'Procedura aperta' END || CASE WHEN k % 4 >= 2 THEN ' in ' || CAST(k % 4 AS VARCHAR) || ' lotti' ELSE '' END AS label, CASE WHEN k % 5 = 0 THEN 'sotto soglia' ELSE 'sopra soglia' END AS scope,
 CASE WHEN k % 5 = 0 THEN 'Minor prezzo' ELSE 'OEPV' END AS method, CASE WHEN k % 5 = 0 THEN 'art. 50 d.lgs. 36/2023' ELSE 'd.lgs. 36/2023' END AS legal_reference, k % 8 = 0 AS framework, k % 5 <> 0 AS inversion, false AS concession, CAST(CASE WHEN k % 4 >= 2 THEN k % 4 ELSE 1 END AS INTEGER) AS n_lots FROM c""",
     "notice_lots": _K + ", l AS (SELECT c.*, i FROM c, (SELECT unnest([1, 2, 3]) AS i) WHERE k % 4 >= 2 AND i <= k % 4) SELECT doc_id, CAST(i AS INTEGER) AS lot, 'fornitura tipo ' || i AS name, upper(sha256(doc_id || '-' || i))[1:10] AS cig, CAST(base + i AS DECIMAL(18,2)) AS amount FROM l",
@@ -97,7 +132,7 @@ CASE WHEN k % 5 = 0 THEN 'Minor prezzo' ELSE 'OEPV' END AS method, CASE WHEN k %
     "notice_amounts": _K + """SELECT doc_id, base, safety, labour, CAST(coalesce(labour, safety) AS DECIMAL(18,2)) AS fixed, CAST(base - coalesce(labour, safety) AS DECIMAL(18,2)) AS discountable, k % 3 <> 0 AS revision, CAST(CASE WHEN k % 3 <> 0 THEN k % 3 + 4 END AS INTEGER) AS revision_percent, CASE WHEN k % 7 <> 0 THEN n_name END AS place FROM c""",
     "notice_categories": _K + "SELECT doc_id, CASE WHEN k % 2 = 0 THEN ['E.22', 'IA.01', 'OG1'] ELSE ['S.03'] END AS codes, CASE WHEN k % 2 = 0 THEN ['ENG', 'ENG', 'SOA'] ELSE ['ENG'] END AS kinds FROM c",
     "notice_timing": _K + """SELECT doc_id, CAST(d + 20 AS DATE) AS offers_until, CASE WHEN k % 2 = 0 THEN '12:30' ELSE '9:00' END AS offers_hour, CAST(d + 10 AS DATE) AS questions_until, CASE WHEN k % 3 <> 0 THEN CAST(d + 25 AS DATE) END AS opening, CAST(CASE WHEN k % 3 = 1 THEN 240 ELSE 180 END AS INTEGER) AS validity_days,
-CAST(CASE k % 3 WHEN 0 THEN (k % 24 + 12) * 30 WHEN 1 THEN 90 ELSE 1095 END AS INTEGER) AS duration_days, CAST(60 AS INTEGER) AS signing_days, CAST(35 AS INTEGER) AS standstill_days FROM c""",
+CAST(CASE k % 3 WHEN 0 THEN (k % 24 + 12) * 30 WHEN 1 THEN 90 ELSE 1095 END AS INTEGER) AS duration_days, CAST(NULL AS INTEGER) AS procedure_months, CAST(60 AS INTEGER) AS signing_days, CAST(35 AS INTEGER) AS standstill_days FROM c""",
     "notice_requirements": _K + """SELECT doc_id, ['imprese', 'raggruppamenti', 'consorzi'] AS bidders, false AS young_professional, CASE WHEN k % 2 = 0 THEN CAST(base * 2 AS DECIMAL(18,2)) END AS turnover, CASE WHEN k % 2 = 0 THEN base END AS similar_services, CASE WHEN k % 5 <> 0 THEN 'Metalmeccanici' END AS agreement, k % 5 <> 0 AS social_clause,
 CAST(CASE WHEN k % 5 <> 0 THEN 30 END AS INTEGER) AS quota_percent, CASE WHEN k % 2 = 1 THEN false END AS roles_together, CAST(CASE WHEN k % 2 = 1 THEN 2 END AS INTEGER) AS least_team FROM c""",
     "notice_roles": _K + "SELECT doc_id, r.name, r.degree, r.register, CAST(r.years AS INTEGER) AS years FROM c, (VALUES ('Coordinatore', 'Ingegneria', 'Ingegneri', 10), ('Geologo', 'Geologia', NULL, 5)) r(name, degree, register, years) WHERE k % 2 = 1",

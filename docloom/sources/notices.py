@@ -34,7 +34,7 @@ def render_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
         f("Gara n. %d indetta con determina a contrarre n. %d del %s.", k, k % 500 + 1, day(-30)),
         f("CIG: %s CPV principale 71240000-2, CPV secondari 71250000-%d", F.concat_ws(" ", F.substring(F.upper(F.sha2(text(k), 256)), 1, 5), F.substring(F.upper(F.sha2(text(k), 256)), 6, 5)), k % 10),
         F.concat(lit("CUP: "), lit("C"), F.lpad(text(k % 100), 2, "0"), lit("B"), F.lpad(text(k), 11, "0")),
-        F.when(k % 4 == 0, lit("Intervento finanziato con fondi PNRR e fondi comunali.")).when(k % 4 == 1, lit("Intervento finanziato con fondi FESR.")).when(k % 4 == 2, lit("Spesa coperta con mutuo.")),
+        F.when(k % 4 == 0, lit("Intervento finanziato con fondi PNRR e fondi comunali.")).when(k % 4 == 1, lit("Intervento finanziato con fondi FESR.")).when(k % 4 == 2, lit("Spesa ammessa al Conto Termico del GSE; Superbonus 110 % escluso.")),
         F.when(k % 3 == 0, lit("Le offerte si presentano sulla piattaforma Sintel all'indirizzo https://gare.example.org/sintel e non via MePA.")).when(k % 3 == 1, lit("Si usa il MePA.")).otherwise(lit("Offerte in busta.")),
         F.when(k % 5 == 0, lit("Procedura negoziata sotto soglia ai sensi dell'art. 50 d.lgs. 36/2023, criterio del minor prezzo.")).otherwise(lit("Procedura aperta sopra soglia ai sensi del d.lgs. 36/2023, offerta economicamente più vantaggiosa, con inversione procedimentale.")),
         F.when(k % 8 == 0, lit("Si conclude un accordo quadro.")),
