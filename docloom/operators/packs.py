@@ -519,3 +519,62 @@ def meaningful_suffix(suffix: Column, most: int = 120) -> Column:
 def richer(plain: Column, markdown: Column) -> Column:
     """The longer of two renderings of a document."""
     return F.when(F.coalesce(F.length(markdown), F.lit(0)) > F.coalesce(F.length(plain), F.lit(0)), markdown).otherwise(plain)
+
+
+_CODE = r"(?:IA|[ESDV])\.?\d{2}"
+# Words that begin the name of a kind of works.
+WORKS = "EDILIZIA|IMPIANTI|STRUTTUR|IDRAULIC|VIABILIT|INFRASTRUTTUR"
+
+
+def required_categories(text: Column) -> Column:
+    """Categories for which references are asked: code, amount, grade (complexity), description and the layout they were found in.
+
+    From sentences; else from pipe tables that name a CATEGORIA, those about designed works before others, where a cell is an amount if above 10 000 and a
+    grade if below 10; else from lines that hold a code alone, whose next four lines, up to a total, hold an amount above 100 or a grade. Of each code the first."""
+    kind = "array<struct<code:string,amount:decimal(18,2),grade:double,description:string,layout:string>>"
+    none = F.array().cast(kind)
+    row = lambda code, amount, grade, words, layout: F.struct(S.category_code(code).alias("code"), amount.cast("decimal(18,2)").alias("amount"), grade.cast("double").alias("grade"), F.nullif(F.substring(words, 1, 200), F.lit("")).alias("description"), F.lit(layout).alias("layout"))
+    nothing = F.lit(None).cast("string")
+
+    said = F.regexp_extract_all(text, F.lit(rf"(?iu)(?:categori\w+|class\w+)\s+({_CODE}[^.\d][^.]{{0,100}}?(?:import\w+[^€\d]{{0,30}}€?\s*\d[\d.,]*\d|class\w+\s+\w+))"), 1)
+    amount_in = lambda x: S.parse_amount(F.nullif(F.regexp_extract(x, r"(?i)import\w+[^€\d]{0,30}€?\s*(\d[\d.,]*\d)", 1), F.lit("")), dot3_thousands=True)
+    inline = F.transform(said, lambda x: row(F.regexp_extract(x, rf"(?i)^({_CODE})", 1), amount_in(x), nothing, nothing, "sentence"))
+
+    number = lambda c: F.when(c.rlike(r"(?i)^(?:euro\s+)?€?\s*[\d.,]+(?:\s*€)?$"), S.parse_amount(F.regexp_replace(c, r"(?i)euro|€", ""), dot3_thousands=True))
+
+    def table(block: Column) -> Column:
+        rows = F.transform(F.split(block, "\n"), lambda r: F.transform(F.split(r, r"\|"), lambda c: F.trim(c)))
+        coded = F.filter(rows, lambda cells: F.exists(cells, lambda c: c.rlike(f"^{_CODE}$")))
+
+        def entries(cells: Column) -> Column:
+            values = F.filter(F.transform(cells, number), lambda v: v.isNotNull())
+            words = F.filter(cells, lambda c: (F.length(c) > 10) & number(c).isNull())
+            at = lambda test: F.get(F.filter(values, test), F.lit(0))
+            return F.transform(F.filter(cells, lambda c: c.rlike(f"^{_CODE}$")), lambda c: row(c, at(lambda v: v > 10_000), at(lambda v: v < 10), F.array_join(words, " "), "table"))
+
+        return F.flatten(F.transform(coded, entries))
+
+    blocks = F.filter(F.regexp_extract_all(text, F.lit(r"(?s)\[TABELLA[^\]]*\]\n(.*?)(?=\n\n|\n---|\n\[TABELLA|\z)"), 1), lambda b: F.upper(b).contains("CATEGORIA"))
+    works = lambda b: b.contains("Importo complessivo") | b.contains("lavori progettati")
+    tables = lambda bs: F.flatten(F.transform(bs, table)).cast(kind)
+    from_tables = S.let(blocks, lambda bs: S.let(tables(F.filter(bs, works)), lambda first: F.when(F.size(first) > 0, first).otherwise(tables(F.filter(bs, lambda b: ~works(b))))))
+
+    mark = F.regexp_instr(text, F.lit(r"(?i)importo\s+complessivo\s+dei\s+lavori\s+progettati|max\s+di\s+n\.\s*\d+\s+servizi|requisiti\s+di\s+capacit[^\n]*tecnica"))
+    lines_ = F.transform(F.split(F.substring(text, mark, F.lit(5000)), "\n"), lambda x: F.trim(F.replace(x, F.lit("*"), F.lit(""))))
+
+    def bold(ls: Column) -> Column:
+        def entry(x: Column, i: Column) -> Column:
+            ahead = F.slice(ls, i + 2, 4)
+            total = F.array_position(F.transform(ahead, lambda a: F.upper(a).contains("TOTALE")), F.lit(True)).cast("int")
+            values = F.filter(F.transform(F.when(total > 0, F.slice(ahead, F.lit(1), total - 1)).otherwise(ahead), number), lambda v: v.isNotNull())
+            back = F.slice(ls, F.greatest(F.lit(1), i - 3), F.least(i, F.lit(4)))
+            heads = F.transform(back, lambda b, j: F.when(b.rlike(f"(?i)^(?:{WORKS})"), j))
+            words = F.when(i > 0, F.array_join(F.filter(back, lambda b, j: (j >= F.array_max(heads)) & (F.length(b) > 5) & number(b).isNull()), " "))
+            return F.when(x.rlike(f"^{_CODE}$"), row(x, F.get(F.filter(values, lambda v: v > 100), F.lit(0)), F.get(F.filter(values, lambda v: v < 10), F.lit(0)), words, "lines"))
+
+        return F.filter(F.transform(ls, entry), lambda e: e.isNotNull()).cast(kind)
+
+    from_lines = F.when(mark > 0, S.let(lines_, bold)).otherwise(none)
+    found = F.coalesce(*[S.let(c, lambda x: F.when(F.size(x) > 0, x)) for c in (inline.cast(kind), from_tables, from_lines)], none)
+    fresh = lambda acc, x: F.when(F.exists(acc, lambda a: a["code"] == x["code"]), acc).otherwise(F.array_append(acc, x))
+    return F.aggregate(found, none, fresh)

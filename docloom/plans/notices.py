@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.scalars import amount_text
 from docloom.operators import packs as P
 from docloom.sources.notices import render_notices
 from docloom.sources.varied import render_varied
@@ -69,7 +70,21 @@ def code_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("doc_id"), P.code_formats(F.when(k % 11 != 0, cup), lots).alias("messages"))
 
 
+def required_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories asked for, from sentences, tables and bold lines by turns, with decoys: a second table, totals, numbers out of range."""
+    k = F.col("c_custkey")
+    f = F.format_string
+    big = lambda n: amount_text((F.lit(50_000 * n) + k).cast("decimal(18,2)"))
+    sentence = f("Per la categoria E20 sono richiesti servizi di importo pari a € %s. Per la classe IA.02 di importo minimo € %s; categoria S.03 per classe seconda.", big(1), big(2))
+    table = f("[TABELLA pag.1]\nCATEGORIA | Voce | Importo\nV.02 | Viabilità ordinaria | € 99.000,00\n\n[TABELLA pag.2]\nCATEGORIA | Descrizione | Grado | Importo complessivo\nE.22 | Edilizia monumentale | 1,55 | € %s\nS03 | Strutture in opera | 0,95 | %s €\nE.22 | Ripetizione della riga | 1,20 | € 77.000,00\n | TOTALE | | € 1,00\n", big(1), big(3))
+    bold = f("Importo complessivo dei lavori progettati\n**CATEGORIA**\n**EDILIZIA**\nscuole e asili\n**E.08**\n0,95\n\n**€ %s**\n**IMPIANTI**\n** IA03 **\n1,15\nTOTALE\n€ 300.000,00\nIDRAULICA\nfogne\nD.04\n€ 50,00\nx\ny\nz\n€ 400.000,00\n", big(4))
+    text = F.concat(F.lit("REQUISITI\n"), F.when(k % 4 == 0, sentence).when(k % 4 == 1, table).when(k % 4 == 2, bold).otherwise("Nessuna categoria richiesta: E.20 a parte."))
+    docs = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("doc_id"), text.alias("text"))
+    return docs.select("doc_id", F.posexplode(P.required_categories(_text())).alias("place", "c")).select("doc_id", "place", "c.*")
+
+
 QUERIES = {
+    "required_categories": required_categories,
     "varied_deadlines": _varied(offers=lambda t: P.timing(t)["offers_until"], hour=lambda t: P.timing(t)["offers_hour"], questions=lambda t: P.timing(t)["questions_until"], opening=lambda t: P.timing(t)["opening"]),
     "varied_amounts": _varied(base=lambda t: P.amounts(t)["base"], safety=lambda t: P.amounts(t)["safety"]),
     "varied_scores": _varied(technical=lambda t: P.scoring(t)["technical"], economic=lambda t: P.scoring(t)["economic"]),
@@ -108,6 +123,10 @@ _SUM = "CASE WHEN abs(e + 70 - (e + 70)) <= 1 THEN 'pass' ELSE 'warn' END"
 _IT = "'EUR ' || translate(format('{:,.2f}', CAST(labour AS DOUBLE)), ',.', '.,')"
 _V = """WITH v AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS doc_id, DATE '2024-01-05' + CAST(c_custkey % 330 AS INTEGER) AS d FROM customer) """
 ORACLE_SQL = {
+    "required_categories": """SELECT k AS doc_id, CAST(place AS INTEGER) AS place, code, CAST(CASE WHEN n IS NOT NULL THEN 50000 * n + k END AS DECIMAL(18,2)) AS amount, CAST(grade AS DOUBLE) AS grade, description, layout
+FROM (SELECT c_custkey AS k FROM customer), (VALUES (0, 0, 'E.20', 1, NULL, NULL, 'sentence'), (0, 1, 'IA.02', 2, NULL, NULL, 'sentence'), (0, 2, 'S.03', NULL, NULL, NULL, 'sentence'),
+  (1, 0, 'E.22', 1, 1.55, 'Edilizia monumentale', 'table'), (1, 1, 'S.03', 3, 0.95, 'Strutture in opera', 'table'),
+  (2, 0, 'E.08', 4, 0.95, 'EDILIZIA scuole e asili', 'lines'), (2, 1, 'IA.03', NULL, 1.15, 'IMPIANTI', 'lines'), (2, 2, 'D.04', NULL, NULL, 'IDRAULICA', 'lines')) v(layout_no, place, code, n, grade, description, layout) WHERE k % 4 = layout_no""",
     "varied_deadlines": _V + "SELECT doc_id, CAST(d + 40 AS DATE) AS offers, CASE WHEN k % 2 = 0 THEN '12:00' ELSE '9:30' END AS hour, CAST(d + 25 AS DATE) AS questions, CAST(d + 47 AS DATE) AS opening FROM v",
     "varied_amounts": _V + "SELECT doc_id, CAST(250000 + k * 7 AS DECIMAL(18,2)) AS base, CAST(1500.5 + k % 900 AS DECIMAL(18,2)) AS safety FROM v",
     "varied_scores": _V + "SELECT doc_id, CAST(65 + k % 20 AS INTEGER) AS technical, CAST(35 - k % 20 AS INTEGER) AS economic FROM v",
