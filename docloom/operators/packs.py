@@ -263,14 +263,14 @@ def dated(text: Column, window: int = 500) -> Column:
     # What stands before each date, carried on from part to part.
     start = F.struct(F.lit("").alias("tail"), F.array().cast("array<string>").alias("all"))
     step = lambda s, p: S.let(F.right(F.concat(s["tail"], F.lit(" "), p), F.lit(window)), lambda t: F.struct(t.alias("tail"), F.array_append(s["all"], t).alias("all")))
-    before = F.aggregate(F.slice(between, F.lit(1), F.size(found)), start, step, lambda s: s["all"])
+    tails = lambda p: F.aggregate(F.slice(p["between"], F.lit(1), F.size(p["found"])), start, step, lambda s: s["all"])
     words = "|".join(_ROLES.values())
     hour = r"(\d{1,2}[:.,]\d{2})"
 
     def role(word: Column) -> Column:
         return F.coalesce(*[F.when(word.rlike(f"(?iu)^(?:{p})$"), F.lit(k)) for k, p in _ROLES.items()])
 
-    def one(day: Column, i: Column) -> Column:
+    def one(day: Column, i: Column, before: Column, between: Column) -> Column:
         tail, rest = F.get(before, i), F.get(between, i + 1)
         marks = F.transform(F.regexp_extract_all(tail, F.lit(f"(?iu)({words})"), 1), role)
         since = F.regexp_extract(tail, rf"(?isu)^.*(?:{_ROLES['opening']})(.*)$", 1)
@@ -280,7 +280,10 @@ def dated(text: Column, window: int = 500) -> Column:
         at = F.coalesce(F.nullif(F.regexp_extract(rest, rf"(?iu)^[\s,;]*(?:alle\s+|h\.?\s*)?(?:ore\s+)?{hour}", 1), F.lit("")), F.nullif(F.regexp_extract(tail, rf"(?iu)ore\s+{hour}\s+(?:del\s+)?(?:giorno\s+)?$", 1), F.lit("")))
         return F.struct(read_date(day).alias("day"), F.coalesce(F.try_element_at(used, F.lit(-1)), term).alias("role"), F.translate(at, ".,", "::").alias("hour"))
 
-    return F.filter(F.transform(found, one), lambda x: x["day"].isNotNull())
+    # Parts and tails are bound once; named inside the transform they would be made anew for every date.
+    parts = F.struct(found.alias("found"), between.alias("between"))
+    each = S.let(parts, lambda p: S.let(tails(p), lambda before: F.transform(p["found"], lambda d, i: one(d, i, before, p["between"]))))
+    return F.filter(each, lambda x: x["day"].isNotNull())
 
 
 def timing(text: Column) -> dict[str, Column]:
