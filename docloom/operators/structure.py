@@ -20,7 +20,7 @@ def pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def page_of_value(pages_df: DataFrame, values: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The first page of each (document, field, value): where it stands exactly, else where half of its long words do."""
     words = F.filter(F.split(F.lower("value"), r"\s+"), lambda w: F.length(w) > 4)
-    both = values.select(id_col, "field", "value").join(pages_df.select(id_col, "page_num", F.lower("text").alias("t")), id_col)
+    both = values.select(id_col, "field", "value").join(pages_df.select(id_col, "page_num", F.lower("text").alias("t")).hint("shuffle_merge"), id_col)
     exact = F.min(F.when(F.instr("t", F.lower("value")) > 0, F.col("page_num")))
     near = F.min(F.when((F.size(words) > 0) & (F.size(F.filter(words, lambda w: F.instr(F.col("t"), w) > 0)) * 2 >= F.size(words)), F.col("page_num")))
     return both.groupBy(id_col, "field", "value").agg(F.coalesce(exact, near).alias("page_num"))

@@ -83,3 +83,33 @@ def test_conform_odd_json(spark):
     got = [r.errors for r in AD.conform(df, "raw", RECORD).orderBy("i").collect()]
     bad = ["$: not a JSON object"]
     assert got == [bad, bad, bad, ["id: field required", "date: field required"], ["lots: not a list"], ["date: not of type date", "lots[0]: not an object"], []]
+
+
+def test_body_and_subject_in_many_forms(spark):
+    from docloom.operators import rules as R
+
+    rule = {r.field: r for r in R.BUILTIN}
+    bodies = {
+        "STAZIONE APPALTANTE: Comune di Roma\nX": "Comune di Roma",
+        "Amministrazione aggiudicatrice\nASL di Bari": "ASL di Bari",
+        "la stazione appaltante si riserva di non aggiudicare": None,
+        "La centrale unica di committenza è Unione dei Comuni": "Unione dei Comuni",
+        "Spett.le\nProvincia di Lecce": "Provincia di Lecce",
+        "Spettabile Azienda Ospedaliera": "Azienda Ospedaliera",
+        "Ente appaltante – Regione Lazio": "Regione Lazio",
+        "": None,
+        None: None,
+    }
+    got = one(spark, list(bodies), x=lambda t: R.extracted(t, rule["stazione_appaltante"]))
+    assert [r["x"] for r in got] == list(bodies.values())
+    subjects = {
+        "OGGETTO: Fornitura di carta per uffici": "Fornitura di carta per uffici",
+        "1. Oggetto dell'appalto\nServizio di pulizia delle scuole": "Servizio di pulizia delle scuole",
+        "Titolo della gara: Manutenzione del verde": "Manutenzione del verde",
+        "bando avente ad oggetto la manutenzione delle strade": "la manutenzione delle strade",
+        "Procedura aperta per l'affidamento dei lavori di rifacimento": "l'affidamento dei lavori di rifacimento",
+        "l'oggetto della lite": None,
+        None: None,
+    }
+    got = one(spark, list(subjects), x=lambda t: R.extracted(t, rule["oggetto_appalto"]))
+    assert [r["x"] for r in got] == list(subjects.values())
