@@ -19,9 +19,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the shared one in spark.checkpoint.dir (below a temporary one only where that is unset)."""
+    """A new folder below the shared one in spark.checkpoint.dir (below a temporary one where that is unset and the master is local)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = Path(tempfile.gettempdir(), "docloom-scratch").as_uri()
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/docloom-{uuid.uuid4().hex}"
@@ -116,7 +118,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     cur = stored(both)
-    before = None
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = state(cur)
     for _ in range(max_rounds):
         two = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = stored(two.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
@@ -130,7 +133,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         for used in (cur, low, large, lows):
             drop_stored(used)
         cur = new
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = state(cur)
         if now == before:
             break
         before = now

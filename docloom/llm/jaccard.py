@@ -189,18 +189,31 @@ class JaccardJoin:
         num, den = self.num, self.den
         table = self.token_sets(ids)
 
+        # A leader's set goes once to each task that holds some of its classes; a leader of more than CHUNK classes has several such tasks.
+        many = stored(near.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("pieces")).where("pieces > 1"))
+        dealt = lookup_join(near, many, ["a"], F.col("b"), "left").withColumn("piece", F.pmod(F.xxhash64("b"), F.coalesce("pieces", F.lit(1))).cast("int")).select("a", "piece", "b")
+        led = dealt.join(table.select(F.col("rep").alias("b"), "tokens").hint("shuffle_merge"), "b").select("a", "piece", "b", "tokens")
+        # The table is read once for each side, which keeps their columns apart.
+        again = table.sparkSession.read.schema(table.schema).parquet(table.stored_at)
+        heads = dealt.select("a", "piece").distinct().join(again.select(F.col("rep").alias("a"), "tokens").hint("shuffle_merge"), "a").select("a", "piece", F.lit(None).cast("long").alias("b"), "tokens")
+        beside = led.unionByName(heads).repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("b").asc_nulls_first())
+
         def check(batches):
+            head = None
             for batch in batches:
                 ok = []
-                for x, y in zip(batch.column(2), batch.column(3)):
-                    x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(den * common >= num * (len(x) + len(y) - common))
+                for b, tokens in zip(batch.column(2), batch.column(3)):
+                    x = np.frombuffer(tokens.as_buffer(), np.uint64)
+                    if not b.is_valid:
+                        head = x.copy()
+                        ok.append(False)
+                        continue
+                    common = len(np.intersect1d(head, x, assume_unique=True))
+                    ok.append(den * common >= num * (len(head) + len(x) - common))
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        full = near.join(table.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")).hint("shuffle_merge"), "a")
-        full = full.join(table.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")).hint("shuffle_merge"), "b")
-        links = stored(full.select("a", "b", "ta", "tb").mapInArrow(lean(check), "a long, b long").distinct())
+        links = stored(beside.mapInArrow(lean(check), "a long, b long").distinct())
+        drop_stored(many)
         for used in (ids, table):
             drop_stored(used)
         return near, links
@@ -266,6 +279,11 @@ class JaccardJoin:
             drop_stored(used)
         return out
 
+    @staticmethod
+    def _stars(parts: DataFrame) -> DataFrame:
+        """Components found so far as edges: a star each, so that later links settle in few rounds."""
+        return parts.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
     @staticmethod
     def _open(rows: DataFrame) -> DataFrame:
         return rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
@@ -309,6 +327,11 @@ class JaccardJoin:
         rows = rows.withColumn("slack", F.col("p") - F.col("pos")).drop("p", "pos")
         # Far fewer than the prefixes hold: tokens that several components share.
         rows = stored(rows.join(self._open(rows).hint("shuffle_merge"), "token"))
+        if not rows.limit(1).count():
+            # No shingle is left to two components, so no link between them is.
+            for used in (prefixes, members, rows, links):
+                drop_stored(used)
+            return per_doc, parts.select(F.col("node").alias("set_id"), "component")
         # A second leader, another one in each bucket: whatever links with it needn't meet the groups.
         second = rows.withColumn("band", band).groupBy("token", "band").agg(F.min_by("rep", F.xxhash64("token", "rep")).alias("a"), F.min_by("component", F.xxhash64("token", "rep")).alias("c"), F.min("component").alias("x"), F.max("component").alias("y"))
         second = second.where("x <> y").select("token", "band", "a", "c")
@@ -316,8 +339,7 @@ class JaccardJoin:
         nearer, again = self.compare(pairs, prefixes)
         near = near.unionAll(nearer)
         if again.limit(1).count():
-            links = stored(links.unionAll(again))
-            parts = stored(connected_components(links))
+            parts = stored(connected_components(self._stars(parts).unionAll(again)))
         if nearer.limit(1).count():
             drop_stored(members)
             members = self._members(prefixes, parts, near)
@@ -340,7 +362,7 @@ class JaccardJoin:
         late = self.compare_blocks(opened, members)
         final = parts
         if late.limit(1).count():
-            final = stored(connected_components(links.unionAll(late)))
+            final = stored(connected_components(self._stars(parts).unionAll(late)))
         for used in (prefixes, members, rows, links, late):
             drop_stored(used)
         return per_doc, final.select(F.col("node").alias("set_id"), "component")
