@@ -6,15 +6,18 @@ the cube method: the vector of probabilities moves at random inside the null spa
 constraints (number of documents, number of words) until it meets a face of the unit cube, so both totals are kept at
 every step and the probability of every document is kept in expectation. With two constraints any three undecided
 documents allow a move that decides one of them, so each chunk of a source comes down to two undecided documents
-at most; those of up to FAN chunks are gathered and moved again, until one chunk a source is left. The landing then
-decides the last two together with the source's few smallest documents, to the nearest total.
+at most. A ladder of LANDING documents, each near half the size of the one before, is left out of the flight of a chunk. Both, of
+up to FAN chunks, are gathered and moved again, until one chunk a source is left. The landing then
+decides the last two together with the last ladder, to the nearest total: sums of halving sizes come near any number.
 
 A null source is a source of its own, the last in order. Null or empty texts have size 0 and still take part. Rows with
-equal doc_id are separate documents. Sources without words have target 0. An empty table gives an empty result.
+equal doc_id are separate documents. Sources without words have target 0. An empty table gives an empty result. Further columns
+aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
@@ -26,8 +29,8 @@ from docloom.llm.common import WORD, lookup_join, stored
 
 #: Documents in a chunk of the first flight, and chunks whose undecided documents meet in one chunk of the next.
 CHUNK, FAN = 2048, 1024
-#: Documents of a source, its smallest, that the flight leaves to the landing.
-LANDING = 10
+#: Documents of a source, of halving sizes, that the flight leaves to the landing.
+LANDING = 16
 EDGE = 1e-9
 
 
@@ -56,6 +59,20 @@ def flight(p: list[float], size: list[float], rng: np.random.Generator) -> list[
     return p
 
 
+def ladder(size: list[float]) -> list[int]:
+    """Places of LANDING entries, or all if fewer, of falling sizes: the largest, then at each step the one nearest to half the last step."""
+    left, want, out = sorted(range(len(size)), key=lambda k: (size[k], k)), max(size, default=0.0), []
+    sizes = [size[k] for k in left]
+    while left and len(out) < LANDING:
+        at = bisect_left(sizes, want)
+        if at == len(left) or at and want - sizes[at - 1] <= sizes[at] - want:
+            at -= 1
+        out.append(left.pop(at))
+        sizes.pop(at)
+        want = max(want / 2, 1.0)
+    return out
+
+
 def land(p: list[float], size: list[float]) -> list[float]:
     """Decides the entries left between 0 and 1, LANDING + 2 at most: the outcome nearest in words, then in documents."""
     live = [k for k, x in enumerate(p) if 0 < x < 1]
@@ -76,10 +93,14 @@ def _decide(seed: int, turn: int, last: bool):
         rng = np.random.default_rng([seed, turn, int(pdf["source_no"].iloc[0]), int(pdf["chunk"].iloc[0])])
         size = pdf["size"].astype(float).tolist()
         p = pdf["p"].tolist()
+        open_ones = [k for k, x in enumerate(p) if EDGE < x < 1 - EDGE]
+        steps = {open_ones[k] for k in ladder([size[k] for k in open_ones])}
+        moved = [k for k in range(len(p)) if k not in steps]
+        for k, x in zip(moved, flight([p[k] for k in moved], [size[k] for k in moved], rng)):
+            p[k] = x
         if not last:
-            return pdf.assign(p=flight(p, size, rng))
-        kept = len(p) - min(LANDING, len(p))
-        return pdf.assign(p=land(flight(p[:kept], size[:kept], rng) + p[kept:], size))
+            return pdf.assign(p=p)
+        return pdf.assign(p=land(p, size))
 
     return run
 
@@ -145,13 +166,18 @@ def balanced_mix(
 
 
 def apply_mix(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """Every row of docs as often as the mix takes it. Rows alike in doc_id, text and source share their copies in turn."""
-    keys = ["__id", "__tie", "__source"]
-    plan = mix.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"), F.col("tie").alias("__tie"), F.coalesce("source", F.lit("")).alias("__source"))
+    """Every row of docs as often as the mix takes it. Rows alike in doc_id, text and source share their copies in turn, by a hash of all their columns.
+
+    A null source and an empty one are apart, and so are a null doc_id and any other.
+    """
+    keys = ["__id", "__tie", "__source", "__none"]
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    nulls = F.col("doc_id").isNull().cast("int") * 2 + F.col("source").isNull().cast("int")
+    plan = mix.groupBy(key("doc_id").alias("__id"), F.col("tie").alias("__tie"), key("source").alias("__source"), nulls.alias("__none"))
     plan = stored(plan.agg(F.sum("copies").alias("__sum"), F.count("*").alias("__n"), F.max("copies").alias("__most")))
-    named = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__tie": F.xxhash64("text"), "__source": F.coalesce("source", F.lit(""))})
+    named = docs.withColumns({"__id": key("doc_id"), "__tie": F.xxhash64("text"), "__source": key("source"), "__none": nulls})
     single = named.join(plan.where("__n = 1 and __sum > 0").hint("shuffle_merge"), keys).withColumn("__copies", F.col("__sum"))
-    among = Window.partitionBy(*keys).orderBy("n_chars")
+    among = Window.partitionBy(*keys).orderBy(F.xxhash64(*docs.columns))
     alike = named.join(plan.where("__n > 1 and __sum > 0").hint("shuffle_merge"), keys).withColumn("__k", F.row_number().over(among))
     each = F.floor(F.col("__sum") / F.col("__n")) + F.when(F.col("__k") <= F.col("__sum") % F.col("__n"), 1).otherwise(0)
     alike = alike.withColumn("__copies", each).drop("__k")
