@@ -5,8 +5,10 @@ characters is found in a document if some stretch of it is within k = floor(ERRO
 k + 1 pieces; k edits leave one of them untouched, so a document that holds the item holds a piece. All pieces are looked up at
 once by one automaton, and only the stretches around piece hits are verified, by Myers' bit-parallel distance.
 
-Items of fewer than MIN_CHARS characters say little in themselves: they match only documents that equal them. Null or
-empty items and documents match nothing. Items that are alike after normalising are one, under their smallest item_id.
+Items of fewer than MIN_CHARS characters have too few for edits: they are found exactly, from word bound to word bound. Items of fewer
+than MIN_WORDS words and MIN_CHARS characters say nothing inside a text: they match only documents that equal them. Null or
+empty items and documents match nothing. Items that are alike after normalising are one, under their smallest item_id. An empty benchmark
+marks nothing, an empty table gives an empty result, repeated rows are marked each for itself, and a column named matches gives way.
 The benchmark is worked on in blocks of at most BLOCK_CHARS characters about, each broadcast for one pass over the documents.
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import map_texts
 
-ERROR_RATE, MIN_CHARS, BLOCK_CHARS = 0.08, 24, 8_000_000
+ERROR_RATE, MIN_CHARS, MIN_WORDS, BLOCK_CHARS = 0.08, 24, 3, 8_000_000
 MATCHES = "array<struct<item_id:bigint,distance:int,at:int>>"
 _PUNCTUATION = re.compile(r"[\W_]+")
 
@@ -72,13 +74,17 @@ class Matcher:
     def __init__(self, items: dict[str, int], error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS):
         import ahocorasick
 
-        self.whole = {s: i for s, i in items.items() if s and len(s) < min_chars}
+        short = {s: i for s, i in items.items() if s and len(s) < min_chars}
+        self.whole = {s: i for s, i in short.items() if s.count(" ") < MIN_WORDS - 1}
+        self.exact = [(s, i) for s, i in short.items() if s not in self.whole]
         self.items = [(s, i, int(len(s) * error_rate), {}) for s, i in items.items() if len(s) >= min_chars]
         found: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for at, (s, _, k, _) in enumerate(self.items):
             for j in range(k + 1):
                 a, b = len(s) * j // (k + 1), len(s) * (j + 1) // (k + 1)
                 found[s[a:b]].append((at, a))
+        for j, (s, _) in enumerate(self.exact):
+            found[s].append((~j, 0))
         self.pieces = ahocorasick.Automaton()
         for piece, uses in found.items():
             self.pieces.add_word(piece, (len(piece), uses))
@@ -89,12 +95,18 @@ class Matcher:
         out = []
         if text in self.whole:
             out.append({"item_id": self.whole[text], "distance": 0, "at": 0})
-        if not self.items:
+        if not self.items and not self.exact:
             return out
         starts: dict[int, set[int]] = defaultdict(set)
+        exact: dict[int, int] = {}
         for end, (size, uses) in self.pieces.iter(text):
             for at, offset in uses:
-                starts[at].add(end + 1 - size - offset)
+                first = end + 1 - size - offset
+                if at >= 0:
+                    starts[at].add(first)
+                elif (first == 0 or text[first - 1] == " ") and (end + 1 == len(text) or text[end + 1] == " "):
+                    exact.setdefault(~at, first)
+        out += [{"item_id": self.exact[j][1], "distance": 0, "at": first} for j, first in exact.items()]
         for at, places in starts.items():
             item, name, k, masks = self.items[at]
             hit = self.verify(text, item, k, masks, sorted(places))
@@ -124,7 +136,8 @@ class Matcher:
 def mark(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, keep_text: bool = True) -> DataFrame:
     """docs with `matches`: the benchmark items that each text holds, with distance and rough place."""
     text = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
-    items = benchmark.where(F.length(text) > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    # Copies of an item are one row before anything is gathered.
+    items = benchmark.where(F.length(text) > 0).groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id")).select("item_id", "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_CHARS))
     out = docs
