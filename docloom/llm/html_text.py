@@ -29,7 +29,7 @@ MIN_PAGES, MIN_SHARE = 5, 0.2
 # Element names and the words of class, id and role that mark parts which aren't article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-DROPPED = frozenset("head script style noscript template nav footer aside form button select textarea input iframe svg canvas object embed video audio dialog menu title map math".split())
+DROPPED = frozenset("head script style noscript template nav footer aside button select textarea input iframe svg canvas object embed video audio dialog menu title map math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -39,7 +39,11 @@ NOT_ARTICLE = frozenset(
 )
 HEADER_NAMES = frozenset("header masthead topbar".split())
 #: A class name that holds one of these only says what surrounds an element.
-STATE_WORDS = frozenset("no not non has with without is show hide".split())
+STATE_WORDS = frozenset("no not non has with without is show hide enabled disabled open closed allowed".split())
+#: These name a part wherever they stand in a class name; the other words of NOT_ARTICLE do so for sure at its end only.
+ALWAYS = frozenset("comment comments commentlist cookie cookies consent discussion disqus footer gdpr modal nav navbar navigation newsletter popup respond sidebar sidebars subscribe".split())
+#: Kinds of doubt: by the end of a name, by a word inside it, a form.
+NAMED, LOOSE, FORM = 2, 3, 4
 NOT_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -54,26 +58,31 @@ _SPLIT_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Node:
     __slots__ = ("tag", "parts", "dropped", "doubtful", "area")
 
-    def __init__(self, tag: str, dropped: bool, area: str, doubtful: bool = False):
+    def __init__(self, tag: str, dropped: bool, area: str, doubtful: int = 0):
         self.tag, self.dropped, self.doubtful, self.area, self.parts = tag, dropped, doubtful, area, []
 
 
 def unwanted(tag: str, attributes: str, area: str) -> int:
-    """Whether an element holds no article text: 1 surely, 2 by the words of its class or id only. area: "article" or "main" inside such an element, else empty."""
+    """Whether an element holds no article text: 1 surely, NAMED or LOOSE by the words of its class or id only, FORM for a form. area: "article" or "main" inside such an element, else empty."""
     if tag in DROPPED or tag == "header" and not area:
         return 1
+    doubt = FORM if tag == "form" else 0
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return 0
-    doubt = 0
+        return doubt
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             if tag in ("body", "html", "main"):
                 continue
             for name in value.split():
-                words = {x.lower() for x in _NAMES.findall(_SPLIT_CAMEL.sub(" ", name))}
-                if not words & STATE_WORDS and (words & NOT_ARTICLE or not area and words & HEADER_NAMES):
-                    doubt = 2
+                words = [x.lower() for x in _NAMES.findall(_SPLIT_CAMEL.sub(" ", name))]
+                if doubt == FORM or not STATE_WORDS.isdisjoint(words):
+                    continue
+                wanted = NOT_ARTICLE if area else NOT_ARTICLE | HEADER_NAMES
+                if words and (words[-1] in wanted or not ALWAYS.isdisjoint(words)):
+                    doubt = NAMED
+                elif not doubt and not wanted.isdisjoint(words):
+                    doubt = LOOSE
         elif name == "role" and value.lower() in NOT_ARTICLE_ROLES and tag not in ("body", "html", "main", "article"):
             return 1
         elif name == "aria-hidden" and value.lower() == "true" or name == "hidden":
@@ -138,8 +147,8 @@ def parse(page: str) -> Node:
             continue
         area = "main" if tag == "main" else "article" if tag == "article" else top.area
         kind = 1 if top.dropped else unwanted(tag, attributes, top.area)
-        node = Node(tag, kind == 1, area, kind == 2)
-        doubtful |= kind == 2
+        node = Node(tag, kind == 1, area, kind if kind > 1 else 0)
+        doubtful |= kind > 1
         if not node.dropped:
             top.parts.append(node)
         if tag in RAW:
@@ -152,9 +161,38 @@ def parse(page: str) -> Node:
     return settled(root) if doubtful else root
 
 
+def weigh(root: Node) -> None:
+    """Clears the doubt of loosely named elements and forms that are the page itself, in one pass over the tree.
+
+    Weights are words outside links and outside elements that are surely named otherwise; those of a form count in paragraphs only.
+    """
+    order, queue = [], [(root, None, False, False)]
+    while queue:
+        node, above, link, paragraph = queue.pop()
+        link, paragraph = link or node.tag == "a", paragraph or node.tag == "p"
+        order.append((node, above, link, paragraph))
+        queue += [(x, node, link, paragraph) for x in node.parts if isinstance(x, Node)]
+    sums: dict[int, list[int]] = {id(node): [0, 0, 0, 0] for node, *_ in order}  # words, in paragraphs, main elements, other heads
+    for node, above, link, paragraph in reversed(order):
+        own = sums[id(node)]
+        n = 0 if link else sum(len(x.split()) for x in node.parts if isinstance(x, str))
+        own[0] += n
+        own[1] += n * paragraph
+        own[2] += node.tag == "main"
+        own[3] += node.tag in ("article", "h1")
+        if above is not None and node.doubtful != NAMED:
+            for k, x in enumerate(own):
+                sums[id(above)][k] += x
+    total = sums[id(root)][0]
+    for node, *_ in order:
+        words, in_paragraphs, mains, heads = sums[id(node)]
+        if node.doubtful == LOOSE and (mains or 2 * words > total) or node.doubtful == FORM and (mains or heads or 2 * in_paragraphs > total):
+            node.doubtful = 0
+
+
 def settled(root: Node) -> Node:
-    """root without the elements that only the words of a class or id call something else than article; where no text is left outside them,
-    the outermost one with most text stays, and so on inside it."""
+    """root without doubtful elements; where no text is left outside them, the outermost named one with most text stays, and so on inside it."""
+    weigh(root)
     while True:
         queue, found, outside = [root], [], False
         while queue:
@@ -168,6 +206,8 @@ def settled(root: Node) -> Node:
                     queue.append(part)
         best, most = None, 0
         for _, part in found if not outside else ():
+            if part.doubtful == FORM:
+                continue
             out: list[str] = []
             render(part, out, frozenset(), None)
             n = len("".join(out).split())
@@ -178,7 +218,7 @@ def settled(root: Node) -> Node:
             node.parts = [x for x in node.parts if id(x) not in gone]
         if best is None:
             return root
-        best.doubtful = False
+        best.doubtful = 0
 
 
 def render(node: Node, out: list[str], gone: frozenset[int], hashes: dict[int, None] | None) -> int:
@@ -220,19 +260,16 @@ def render(node: Node, out: list[str], gone: frozenset[int], hashes: dict[int, N
 
 
 def areas(root: Node) -> list[Node]:
-    """The outermost main elements that hold text; without any, the outermost articles; else the whole page."""
-    for wanted in ("main", "article"):
-        found, queue = [], [root]
-        while queue:
-            node = queue.pop()
-            if node.tag == wanted:
-                found.append(node)
-            else:
-                queue += [x for x in reversed(node.parts) if isinstance(x, Node)]
-        found = [x for x in found if render(x, [], frozenset(), None)]
-        if found:
-            return found
-    return [root]
+    """The outermost main and article elements that hold text, and the h1 elements outside them, in page order; without main and article, the whole page."""
+    found, queue = [], [root]
+    while queue:
+        node = queue.pop()
+        if node.tag in ("main", "article", "h1"):
+            found.append(node)
+        else:
+            queue += [x for x in reversed(node.parts) if isinstance(x, Node)]
+    found = [x for x in found if render(x, [], frozenset(), None)]
+    return found if any(x.tag != "h1" for x in found) else [root]
 
 
 def extract(page: str, gone: frozenset[int] = frozenset()) -> str:

@@ -83,6 +83,34 @@ def test_mixing_targets_and_balance(spark):
     assert mixing.apply_mix(docs, mixing.balanced_mix(docs)).count() == got["copies"].sum()
 
 
+def test_mixing_of_large_documents_meets_targets(spark):
+    rng = random.Random(8)
+    sizes = [rng.choice([3, 700, 2600, 5200, 9000]) + rng.randint(0, 400) for _ in range(240)]
+    docs = spark.createDataFrame([(i, "w " * n, f"s{i % 4}") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    got = mixing.balanced_mix(docs).toPandas()
+    for _, g in got.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= max(0.01 * g["target"].iloc[0], g["size"].min() / 2)
+    assert (got["taken"] <= 2 * got["size"]).all()
+
+
+@given(st.lists(st.integers(0, 20_000), max_size=60))
+@settings(max_examples=60, deadline=None)
+def test_ladder(sizes):
+    got = mixing.ladder([float(x) for x in sizes])
+    assert len(set(got)) == len(got) == min(len(sizes), mixing.LANDING)
+    assert not got or sizes[got[0]] == max(sizes)
+
+
+def test_mix_tells_null_and_empty_sources_apart(spark):
+    rows = [(1, "a b c", None), (1, "a b c", ""), (2, "d e", ""), (None, "x y", None), (2, "d e", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.balanced_mix(docs)
+    want = Counter()
+    for r in mix.collect():
+        want[r.doc_id, r.source] += r.copies
+    assert Counter((r.doc_id, r.source) for r in mixing.apply_mix(docs, mix).collect()) == +want
+
+
 def test_mixing_odd(odd, none):
     got = mixing.balanced_mix(odd).toPandas()
     assert len(got) == 10 and (got["taken"] <= 2 * got["size"]).all()
@@ -133,6 +161,14 @@ def test_decontamination_is_exact(spark):
     assert got == want | {(70, 93): 0} and len(want) > 20
 
 
+def test_short_items_are_found_at_word_bounds(spark):
+    bench = spark.createDataFrame([(1, "What is 7 times 8 ok?"), (2, "one"), (3, "is 7 times"), (9, "what is 7 TIMES 8, ok")], "item_id long, text string")
+    texts = ["Well: what is 7 times 8, OK? yes", "this is 7 timeshares", "one", "one two", "What is 7 times 8 ok", "what is 7 times 8 okay"]
+    docs = make_docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    got = {r.doc_id: sorted((m.item_id, m.distance) for m in r.matches) for r in decontam.mark(docs, bench).collect()}
+    assert got == {0: [(1, 0), (3, 0)], 1: [], 2: [(2, 0)], 3: [], 4: [(1, 0), (3, 0)], 5: [(3, 0)]}
+
+
 def test_decontamination_odd(spark, odd, none):
     bench = spark.createDataFrame([(1, None)], "item_id long, text string")
     assert decontam.mark(odd, bench).where("size(matches) > 0").count() == 0 and decontam.mark(none, bench).count() == 0
@@ -202,6 +238,27 @@ def test_html():
     assert html_text.extract("") == "" and html_text.extract("just text &lt;") == "just text <" and html_text.extract("<p>" * 5000 + "x") == "x"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="post-comments-enabled"><p>The article</p></div><p>short foot</p>', "The article short foot"),
+        ('<div id="main-menu-wrapper"><p>a b c d</p></div>c', "a b c d c"),
+        ('<article class="promo-article"><p>art text here</p></article>x', "art text here"),
+        ('<div class="widget-content"><p>one two three</p></div>Copyright', "one two three Copyright"),
+        ('<body><form><p>one two</p><p>three</p><input></form></body>', "one two three"),
+        ("<form id=f><div><h1>T</h1>words of it</div></form>", "T words of it"),
+        ("<form>Name</form>", ""),
+        ("<form><label>Name</label></form><p>x</p>", "x"),
+        ("<main>a</main><article>b</article>", "a b"),
+        ("<h1>T</h1><article>b</article>", "T b"),
+        ('<main>one two<div class="ad-slot">Buy now</div><div class="comments-area">x y z u v w</div></main>', "one two"),
+        ('<div class="menu-box"><a>l l l l l l</a></div><p>short</p>', "short"),
+    ],
+)
+def test_doubtful_elements_are_weighed(page, text):
+    assert html_text.extract(page) == text
+
+
 def test_templates(spark):
     pages = [(i, f"http://h.example/{i}", f"<body><div><p>Welcome to the shop</p></div><p>{prose(i, 20)}</p></body>") for i in range(12)]
     copies = [(100 + i, f"http://k.example/{i}", f"<body><p>{prose(7, 20)}</p></body>") for i in range(12)]
