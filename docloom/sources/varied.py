@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.scalars import amount_text
 from docloom.operators.packs import MONTHS
+from docloom.shared import spread
 
 
 def render_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +56,4 @@ def render_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoys = pick("decoys", lit("Vista la determina a contrarre n. 12 del 03/01/2024."), lit("Criterio dell'offerta economicamente più vantaggiosa, d.lgs. 36/2023 del 31 marzo 2023."), lit("L'offerta tecnica massimo 3 punti per ogni voce accessoria non conta."), lit("Pubblicato con decreto del 2.1.2024; validità dell'offerta 180 giorni."), lit("Premessa senza date."))
     blocks = pick("order", F.concat_ws("\n", offers, questions, opening), F.concat_ws("\n", questions, offers, opening), F.concat_ws("\n", opening, questions, offers))
     text = F.concat_ws("\n", lit("BANDO"), decoys, blocks, lit("Fine dei termini."), rup, director, platform, source, amounts, costs, works, scores)
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.cast("string").alias("doc_id"), text.alias("text"))
+    return spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), "c_custkey").select(k.cast("string").alias("doc_id"), text.alias("text"))

@@ -113,3 +113,20 @@ def test_body_and_subject_in_many_forms(spark):
     }
     got = one(spark, list(subjects), x=lambda t: R.extracted(t, rule["oggetto_appalto"]))
     assert [r["x"] for r in got] == list(subjects.values())
+
+
+def test_notices_are_rendered_by_many_tasks(spark):
+    from docloom.sources.notices import render_notices
+    from docloom.sources.varied import render_varied
+
+    for render in (render_notices, render_varied):
+        docs = render(spark, "/root/testdata/sf0.001")  # whose customers lie in one small file
+        assert docs.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+        assert docs.count() == docs.select("doc_id").distinct().count() > 0
+
+
+def test_notes_extract_each_field_once(spark):
+    from docloom.plans.notices import notice_notes
+
+    top = notice_notes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().expressions().mkString()
+    assert "Manodopera non ribassabile" in top and "manodopera" not in top  # messages take the field's column, not its pattern
