@@ -1,5 +1,8 @@
 import datetime
+import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +10,9 @@ from docloom import shared
 from docloom.operators import corrections as C
 from docloom.operators import learning as L
 from docloom.operators import rules as R
+from docloom.plans import streams
 from docloom.streaming import learning as SL
+from tests.oracle import same
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -91,3 +96,15 @@ def test_rules_come_at_every_fifth_document(spark):
     empty = SL.ExtractionLoop(spark, pack, shared.folder(spark))
     empty.apply(docs.limit(0), 0)
     assert empty.current().count() == 0
+
+
+@pytest.mark.parametrize("name", ["stream_learned", "stream_rule_points"])
+def test_rules_of_deadlines_on_one_day_equal_sql(spark, sf_dir, tmp_path, name):
+    """Where the newest contexts carry one date, the 80 characters before the values are the same from their start."""
+    for table in ("customer", "nation", "lineitem"):
+        os.symlink(f"{sf_dir}/{table}.parquet", tmp_path / f"{table}.parquet")
+    orders = pq.read_table(f"{sf_dir}/orders.parquet")
+    at = orders.schema.get_field_index("o_orderdate")
+    one_day = pa.array([orders["o_orderdate"][0].as_py()] * len(orders), orders.schema.field(at).type)
+    pq.write_table(orders.set_column(at, orders.schema.field(at), one_day), tmp_path / "orders.parquet")
+    same(streams.QUERIES[name](spark, str(tmp_path)), streams.ORACLE_SQL[name], str(tmp_path))
