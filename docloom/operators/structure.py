@@ -49,12 +49,40 @@ def section_text(c: Column | str, starts: list[str], ends: list[str], cap: int =
     return F.nullif(F.trim(hit), F.lit(""))
 
 
+def _tables(text: Column) -> Column:
+    """Pipe tables below a [TABELLA ...] mark, each an array of rows of trimmed cells."""
+    blocks = F.regexp_extract_all(text, F.lit(r"\[TABELLA[^\]]*\]\n((?:[^\n]*\|[^\n]*\n?)+)"), 1)
+    rows = lambda block: F.filter(F.split(block, "\n"), lambda x: x.contains("|"))
+    return F.transform(blocks, lambda b: F.transform(rows(b), lambda r: F.transform(F.split(r, r"\|"), lambda x: F.trim(x))))
+
+
 def table_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of pipe tables below a [TABELLA ...] mark: table_no, row_no, cells."""
-    blocks = F.regexp_extract_all(text_col, F.lit(r"\[TABELLA[^\]]*\]\n((?:[^\n]*\|[^\n]*\n?)+)"), 1)
-    out = docs.select(id_col, F.posexplode(blocks).alias("table_no", "block"))
-    rows = out.select(id_col, "table_no", F.posexplode(F.filter(F.split("block", "\n"), lambda x: x.contains("|"))).alias("row_no", "row"))
-    return rows.select(id_col, "table_no", "row_no", F.transform(F.split("row", r"\|"), lambda x: F.trim(x)).alias("cells"))
+    out = docs.select(id_col, F.posexplode(_tables(F.col(text_col))).alias("table_no", "rows"))
+    return out.select(id_col, "table_no", F.posexplode("rows").alias("row_no", "cells"))
+
+
+def table_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Records of pipe tables: table_no, record, cells. Rows whose first cell isn't a number join the record above, cell by cell.
+
+    A table stands in one document's text, so its rows are put together there and no row is shuffled. Rows above the first number are record 0.
+    """
+
+    def records(rows: Column) -> Column:
+        numbered = F.transform(rows, lambda r, i: F.struct(r.alias("cells"), i.alias("i")))
+        first = F.filter(numbered, lambda x: F.get(x["cells"], F.lit(0)).rlike(r"^\d+$"))
+        starts = F.concat(F.array(F.lit(0)), F.transform(first, lambda x: x["i"]))
+        stops = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(rows)))
+        return F.zip_with(starts, stops, lambda a, b: F.slice(rows, a + 1, b - a))
+
+    def merged(rows: Column) -> Column:
+        width = F.array_max(F.transform(rows, lambda r: F.size(r)))
+        column = lambda k: F.array_join(F.filter(F.transform(rows, lambda r: F.get(r, k)), lambda x: x != ""), " ")
+        return F.transform(F.sequence(F.lit(0), width - 1), column)
+
+    out = docs.select(id_col, F.posexplode(_tables(F.col(text_col))).alias("table_no", "rows"))
+    each = out.select(id_col, "table_no", F.posexplode(records(F.col("rows"))).alias("record", "rows")).where(F.size("rows") > 0)
+    return each.select(id_col, "table_no", F.col("record").cast("long").alias("record"), merged(F.col("rows")).alias("cells"))
 
 
 def merge_continuations(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:

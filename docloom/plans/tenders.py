@@ -80,7 +80,7 @@ def lot_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = structure.merge_continuations(structure.table_rows(render_tenders(spark, sf_dir)))
+    rows = structure.table_records(render_tenders(spark, sf_dir))
     cell = lambda k: F.get("cells", F.lit(k))
     return rows.select("doc_id", cell(0).cast("int").alias("code"), cell(1).alias("description"), cell(2).cast("int").alias("points"))
 

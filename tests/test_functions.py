@@ -1,11 +1,13 @@
 import datetime
+import re
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import scalars as S
-from docloom.operators import analytics, corpus, learning, record, rules, structure
+from docloom.operators import analytics, corpus, corrections, learning, packs, record, rules, structure
+from docloom.sources.tenders import lots
 
 
 def one(spark, value, f, kind="string"):
@@ -214,3 +216,39 @@ def test_top_classes(spark):
     model, names, _ = learning.train_classifier(docs, "y")
     got = {r.doc_id: r.classes for r in learning.predict_top(model, names, docs, 1).collect()}
     assert all(c[0].label == ("r" if i % 2 else "v") and c[0].p > 0.5 and len(c) == 1 for i, c in got.items())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_table_records_equal_merged_rows_without_a_shuffle(spark):
+    text = "[TABELLA 1]\n | sopra | x\n1 | Uno | 10\n | seguito\n2 | Due\n\nTesto\n[TABELLA 2]\nsenza | numero\n | ancora | | fine\n[TABELLA 3]\n7 | \n8 | a | b\n9 |x\n"
+    docs = spark.createDataFrame([("a", text), ("b", "nessuna"), ("c", None), ("d", "[TABELLA]\n3 | c")], "doc_id string, text string")
+    rows = lambda df: sorted((r.doc_id, r.table_no, r.record, tuple(r.cells)) for r in df.collect())
+    made = structure.table_records(docs)
+    assert rows(made) == rows(structure.merge_continuations(structure.table_rows(docs))) and len(rows(made)) == 8
+    assert "Exchange" not in plan_of(made)[2]
+
+
+def test_tenders_shuffle_lots_once(spark, sf_dir):
+    plan = plan_of(lots(spark, sf_dir).groupBy("o_orderkey").agg(F.collect_list("amount")))[2]
+    assert plan.count("Exchange ") == 1
+
+
+def test_partial_position_binds_the_text_once(spark):
+    docs = spark.createDataFrame([("Vista. Fondo dell'INTERVENTO che è finanziato", ), ("intervento " + "x" * 80 + " finanziato",), ("finanziato intervento",), ("poi intervento: intervento finanziato",), (None,)], "text string")
+    at = corrections.partial_position(F.col("text"), F.lit("intervento introvabile finanziato"))
+    found = docs.select(at.alias("at"))
+    assert [r["at"] for r in found.collect()] == [19, None, None, 5, None]
+    assert plan_of(found)[0].split("LocalRelation")[0].split("LogicalRDD")[0].count("lower(text") == 1
+
+
+def test_matches_with_context_searches_once(spark):
+    text = "01/02/2024 a 03/04/2025, " + "z" * 70 + " 05/06/2026" + " 07/08/2027" * 4
+    docs = spark.createDataFrame([(text,), ("nulla",), (None,)], "text string")
+    out = docs.select(packs.matches_with_context(F.col("text"), r"\d{2}/\d{2}/\d{4}").alias("m"))
+    first, none, null = [r.m for r in out.collect()]
+    want = [(m.group(), m.start() + 1, text[max(0, m.start() - 50) : m.end() + 50]) for m in re.finditer(r"\d{2}/\d{2}/\d{4}", text)][:5]
+    assert [tuple(x) for x in first] == want and none == [] and null == []
+    assert plan_of(out)[0].count("regexp_extract_all(") == 1
