@@ -3,6 +3,7 @@ import re
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions import scalars as S
@@ -252,3 +253,13 @@ def test_matches_with_context_searches_once(spark):
     want = [(m.group(), m.start() + 1, text[max(0, m.start() - 50) : m.end() + 50]) for m in re.finditer(r"\d{2}/\d{2}/\d{4}", text)][:5]
     assert [tuple(x) for x in first] == want and none == [] and null == []
     assert plan_of(out)[0].count("regexp_extract_all(") == 1
+
+
+def test_ranked_by_hash_ranks_no_whole_group_in_one_window(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("double").alias("y"))
+    whole = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id")))
+    out = learning.ranked_by_hash(df, "y", "doc_id", "rank").withColumn("whole", whole)
+    assert out.count() == 3000 and out.where("rank <> whole").count() == 0
+    plan = plan_of(learning.ranked_by_hash(df, "y", "doc_id", "rank"))[1]
+    assert "row_number() windowspecdefinition(y" in plan and "row_number() windowspecdefinition(y#" in plan and plan.count("__slice") > 0
+    assert all("__slice" in line.split("ROWS")[0] or "row_number" not in line for line in plan.splitlines())
