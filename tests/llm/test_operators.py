@@ -504,6 +504,28 @@ def test_mixing_model_is_a_distribution():
     assert (2.0 ** -model.cost(data)).max() <= 1
 
 
+def test_all_windows_teach(spark, monkeypatch):
+    """Windows of one count, far more than a part or the driver's former share: each is in the tables, in the fit and findable in the cache."""
+    monkeypatch.setattr(lm, "MAX_WINDOWS", 100, raising=False)
+    monkeypatch.setattr(lm, "PART_WINDOWS", 300, raising=False)
+    windows = np.unique(np.random.default_rng(1).integers(0x61616161, 0x7A7A7A7A, 1500))
+    rows = spark.createDataFrame([(int(w), 3) for w in windows], "window long, n long").repartition(3)
+    model = lm.train(rows)
+    assert model.zeros[0].sum() + model.ones[0].sum() == 8 * 3 * len(windows)
+    assert (model.bits(windows[:50].astype(np.uint32)) < 8).all() and np.isin(model.keys[model.keys > 0], windows).all()
+    assert np.isin(windows, model.keys).mean() > 0.99
+    again = lm.train(rows.repartition(5))
+    assert (again.weights == model.weights).all() and (again.refine == model.refine).all()
+
+
+def test_one_part_learns_like_a_table(spark):
+    data, _, _ = lm.spelled(b" ".join(w.encode() for w in WORDS) + b" ")
+    windows, n = np.unique(lm.windows_of(data), return_counts=True)
+    made, plain = lm.train(spark.createDataFrame([(int(w), int(k)) for w, k in zip(windows, n)], "window long, n long").repartition(3)), lm.learn(windows, n)
+    assert all((a == b).all() for x, y in ((made.zeros, plain.zeros), (made.ones, plain.ones)) for a, b in zip(x, y))
+    assert np.allclose(made.weights, plain.weights) and np.allclose(made.cost(data), plain.cost(data), atol=1e-5)
+
+
 # --- op9
 
 
