@@ -10,6 +10,7 @@ from docloom.functions import scalars as S
 from docloom.operators import analytics as A
 from docloom.operators import corrections as C
 from docloom.operators import learning as L
+from docloom.shared import lookup, stored
 
 #: What a similar document's candidate keeps of its confidence; strategies and rules of a field that are tried; least confidence of a rule.
 SIMILAR_SHARE, MOST_STRATEGIES, MOST_RULES, LEAST_RULE = 0.8, 2, 10, 0.6
@@ -106,7 +107,8 @@ def checked(values: DataFrame, profiles: DataFrame, sigma: float = 2.5) -> DataF
     long as the field's values are on average. Fields with under three values aren't judged. A value that is frequent gains confidence.
     """
     p = profiles.select("field", F.struct("n", "mean", "std", "mean_length", "common").alias("p"))
-    both = values.join(p.hint("shuffle_merge"), "field", "left")
+    # Few fields hold all values, so these stay where they are.
+    both = lookup(values, stored(p), "field", F.struct(*values.columns), "left")
     z = F.when((F.col("p.n") >= 5) & (F.col("p.std") > 0), F.abs(S.parse_numeric("value") - F.col("p.mean")) / F.col("p.std"))
     share = F.length("value") / F.col("p.mean_length")
     known = (F.col("p.n") >= 3) & F.col("value").isNotNull()

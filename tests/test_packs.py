@@ -130,3 +130,21 @@ def test_notes_extract_each_field_once(spark):
 
     top = notice_notes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().expressions().mkString()
     assert "Manodopera non ribassabile" in top and "manodopera" not in top  # messages take the field's column, not its pattern
+
+
+def test_checked_values_stay_spread(spark, monkeypatch):
+    """One field holds all values: no task gets them all, with few profiles or with more than are broadcast."""
+    from docloom import shared
+
+    rows = [(i, "f", str(i % 50)) for i in range(400)] + [(500, "g", None), (501, None, "7")]
+    values = spark.createDataFrame(rows, "doc_id long, field string, value string").repartition(4)
+    got = []
+    for most in (1000, 0):
+        monkeypatch.setattr(shared, "LOOKUP_ROWS", most, raising=False)
+        out = AD.checked(values, AD.value_profiles(values.where("value is not null"))).withColumn("at", F.spark_partition_id()).collect()
+        got.append(sorted(str(r[:-1]) for r in out))
+        assert len(out) == len(rows)
+        tasks = [r["at"] for r in out]
+        if most:
+            assert max(map(tasks.count, tasks)) < 300
+    assert got[0] == got[1]
