@@ -108,3 +108,19 @@ def test_rules_of_deadlines_on_one_day_equal_sql(spark, sf_dir, tmp_path, name):
     one_day = pa.array([orders["o_orderdate"][0].as_py()] * len(orders), orders.schema.field(at).type)
     pq.write_table(orders.set_column(at, orders.schema.field(at), one_day), tmp_path / "orders.parquet")
     same(streams.QUERIES[name](spark, str(tmp_path)), streams.ORACLE_SQL[name], str(tmp_path))
+
+
+def test_corrections_are_kept_without_texts_and_by_all_tasks(spark, sf_dir, monkeypatch):
+    """A slice is one micro-batch of many files, and records of corrections need no tender's text."""
+    many = spark.range(0, 4000, 1, 4)
+    seen = []
+    shared.drain_slices(many, [F.col("id") < 1000, F.col("id") < 0, F.col("id") < 3000], lambda batch, n: seen.append((n, batch.count(), batch.select(F.input_file_name()).distinct().count())), f"{shared.folder(spark)}/state")
+    assert [s[:2] for s in seen] == [(0, 1000), (1, 0), (2, 2000), (3, 1000)] and seen[2][2] > 1
+    docs, events = corrections(spark)
+    whole, bare = SL.CorrectionLoop(spark, docs, shared.folder(spark)), SL.CorrectionLoop(spark, None, shared.folder(spark))
+    for loop in (whole, bare):
+        loop.apply(events, 0)
+    for name in ("wrong", "memory", "log"):
+        assert rows_of(getattr(bare, name).read()) == rows_of(getattr(whole, name).read()), name
+    monkeypatch.setattr(streams, "render_tenders", None)
+    same(streams.stream_memory(spark, sf_dir), streams.ORACLE_SQL["stream_memory"], sf_dir)
