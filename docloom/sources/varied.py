@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.scalars import amount_text
+from docloom.functions.scalars import amount_text, filled
 from docloom.operators.packs import MONTHS
 from docloom.shared import spread
 
@@ -13,7 +13,7 @@ from docloom.shared import spread
 def render_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, one for each customer. Values follow the customer's key; wording, notation of dates and amounts, line breaks and the decoys around them don't."""
     k = F.col("c_custkey")
-    f, lit = F.format_string, F.lit
+    f, lit = filled, F.lit
 
     def pick(name: str, *forms: Column) -> Column:
         return F.get(F.array(*forms), F.pmod(F.xxhash64(lit(name), k), lit(len(forms))).cast("int"))

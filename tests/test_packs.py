@@ -148,3 +148,18 @@ def test_checked_values_stay_spread(spark, monkeypatch):
         if most:
             assert max(map(tasks.count, tasks)) < 300
     assert got[0] == got[1]
+
+
+def test_criteria_are_sorted_once_and_templates_filled(spark):
+    from docloom.functions import scalars as S
+    from docloom.sources import notices, varied
+
+    text = "A | Organizzazione | 40\n\n A.1 | Metodo | 25 |\nA | Altro nome | 30\nB | Esperienza | 30"
+    df = spark.createDataFrame([(text,), (None,)], "text string").select(P.criteria(F.col("text")).alias("x"))
+    got = [r.x for r in df.collect()]
+    assert [tuple(x) for x in got[0]] == [("A", "Organizzazione", 40), ("A.1", "Metodo", 25), ("B", "Esperienza", 30)] and got[1] is None
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1  # sought and sorted anew for every row before
+    row = spark.createDataFrame([(7, None)], "n int, s string").select(S.filled("100%% di %s, n. %d", "s", "n").alias("x"), F.format_string("100%% di %s, n. %d", "s", "n").alias("y")).first()
+    assert row.x == row.y == "100% di null, n. 7"
+    for render in (notices.render_notices, varied.render_varied):
+        assert "format_string" not in render(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
