@@ -16,7 +16,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognisable language: null, empty, or without a letter."""
     model = langid.train(docs, F.lit(True))
     found = langid.identify(docs, model)
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    # Stored here, since the size of Arrow batches is that of the session when they are made.
+    with bounded_batches(spark, 1000, 1):
+        return stored(found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,5 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        made = stage(spark, docs, sf_dir)
+        docs = made if hasattr(made, "stored_at") else stored(made)
     return STAGES[-1][1](spark, docs, sf_dir)

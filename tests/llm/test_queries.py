@@ -35,3 +35,14 @@ def test_near_duplicates_keep_every_different_text(spark):
     docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
     assert got == sorted([(1, a), (1, b), (7, ""), (7, None), (None, c), (3, d)], key=str)
+
+
+def test_language_stage_works_in_small_batches(spark, sf_dir, monkeypatch):
+    """The batches of the language stage, texts kept, are those of bounded_batches() when it runs."""
+    import corpus_pipeline
+
+    sizes, put = [], corpus_pipeline.stored
+    monkeypatch.setattr(corpus_pipeline, "stored", lambda df: (sizes.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), put(df))[1])
+    docs = spark.createDataFrame([(1, "una frase", "it", "a"), (2, "a sentence", "en", "a"), (3, "12", "en", "a")], "doc_id long, text string, lang string, source string")
+    got = corpus_pipeline.language(spark, docs, sf_dir)
+    assert sizes == ["1000"] and sorted(r.doc_id for r in got.collect()) == [1, 2] and got.columns == docs.columns
