@@ -163,3 +163,18 @@ def test_criteria_are_sorted_once_and_templates_filled(spark):
     assert row.x == row.y == "100% di null, n. 7"
     for render in (notices.render_notices, varied.render_varied):
         assert "format_string" not in render(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_offer_has_its_envelope_and_notes(spark):
+    long = "relazione " + "x" * 2500
+    texts = [
+        "Busta tecnica\nLa busta tecnica deve contenere, a pena di esclusione:\na) relazione sui\nservizi offerti;\nb) curricula\nN.B. a parte\n21. OFFERTA ECONOMICA\na) prezzo complessivo",
+        f"20. OFFERTA TECNICA\na) {long};\nb) no;\nBUSTA ECONOMICA\na) prezzo complessivo",
+        "Requisiti: a) iscrizione alla camera; b) bilanci. Offerta di n. 20 (venti) pagine (facciate); non rientrano nel conteggio la copertina e l'indice.",
+        "L'offerta tecnica identica per entrambi i lotti. L'Offerta **Tecnica** deve rispettare le caratteristiche\nminime del capitolato. Nell'offerta tecnica va, a pena di esclusione, nulla di economico. La Commissione giudicatrice può chiedere chiarimenti ai concorrenti.",
+        None,
+    ]
+    got = one(spark, texts, **{k: lambda t, k=k: P.offer_format(t)[k] for k in ("contents", "pages", "not_counted", "offer_notes")})
+    assert [r["contents"] for r in got] == [["relazione sui servizi offerti", "curricula"], [long], [], [], None]
+    assert (got[2]["pages"], got[2]["not_counted"]) == (20, "non rientrano nel conteggio la copertina e l'indice")
+    assert got[3]["offer_notes"] == ["offerta tecnica identica per entrambi i lotti.", "L'Offerta Tecnica deve rispettare le caratteristiche minime del capitolato.", "l'offerta tecnica va, a pena di esclusione, nulla di economico.", "La Commissione giudicatrice può chiedere chiarimenti ai concorrenti."]
