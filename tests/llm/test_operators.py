@@ -1,8 +1,10 @@
 import random
 import zlib
 from collections import Counter
+from unittest.mock import Mock, patch
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -526,6 +528,30 @@ def test_one_part_learns_like_a_table(spark):
     assert np.allclose(made.weights, plain.weights) and np.allclose(made.cost(data), plain.cost(data), atol=1e-5)
 
 
+def test_every_occurrence_teaches_however_documents_are_cut():
+    texts = ["alfa beta alfa", "Beta alfa", None, "gamma alfa beta", "alfa", "delta"]
+    batch = lambda rows: pa.RecordBatch.from_pydict({"doc_id": pa.array(rows, pa.int64()), "held": pa.array([r == 5 for r in rows], pa.bool_()), "class": pa.array([0] * len(rows), pa.int64()), "text": pa.array([texts[r] for r in rows], pa.string())})
+    want = Counter()
+    for r in range(5):
+        for word in [*(texts[r] or "").lower().split(), ""]:
+            data = b"\0\0\0" + word.encode() + b" "
+            want.update(int.from_bytes(data[i : i + 4], "big") for i in range(len(data) - 3))
+    for cut in ([[0, 1, 2, 3, 4, 5]], [[0], [1, 2], [3, 4, 5]]):
+        got = Counter()
+        with patch("pyspark.TaskContext.get", lambda: Mock(partitionId=lambda: 0)):
+            for rows in lm._chunk_rows([batch(c) for c in cut], 1):
+                for kind, window, n in zip(*(rows.column(c).to_pylist() for c in ("kind", "hash", "n"))):
+                    if kind == 2:
+                        got[window] += n
+        assert got == want
+
+
+def test_scores_dont_depend_on_the_cut(spark):
+    docs = make_docs(spark, [(i, prose(i % 40, 30 + i % 7), ("en", "fr", None)[i % 3], "a") for i in range(60)])
+    scores = lambda parts: {r.doc_id: pytest.approx(r.score, rel=1e-6) for r in lm.score_corpus(docs.repartition(parts, "doc_id"), F.col("doc_id") % 7 == 2).collect()}
+    assert scores(1) == {k: v.expected for k, v in scores(5).items()}
+
+
 # --- op9
 
 
