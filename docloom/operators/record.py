@@ -68,10 +68,14 @@ def coherence(wide: DataFrame, lots: DataFrame, tolerance: float = 0.02) -> Data
 def build(wide: DataFrame, lots: DataFrame) -> DataFrame:
     """doc_id, nested record, confidence (share of filled fields) and score (filled fields and structure)."""
     by_doc = lots.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lot", "cig", "amount"))).alias("lotti"))
-    full = wide.join(by_doc.hint("shuffle_merge"), "doc_id", "left")
+    return build_rows(wide.join(by_doc.hint("shuffle_merge"), "doc_id", "left"))
+
+
+def build_rows(full: DataFrame) -> DataFrame:
+    """build() of fields whose lots stand beside them: lotti, an array of structs (lot, cig, amount) in order."""
     lotti = F.coalesce("lotti", F.array().cast("array<struct<lot:int,cig:string,amount:decimal(18,2)>>"))
     names = F.map_from_entries(F.transform(lotti, lambda x: F.struct(F.concat(F.lit("lotto_"), x["lot"].cast("string")), x["cig"])))
-    fields = [c for c in wide.columns if c != "doc_id"]
+    fields = [c for c in full.columns if c not in ("doc_id", "lotti")]
     filled = sum((F.when(is_blank(c), 0).otherwise(1) for c in fields), F.lit(0))
     nested = F.struct(
         F.struct("cig", "cup", "cpv").alias("identificativi"),

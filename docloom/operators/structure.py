@@ -95,11 +95,25 @@ def merge_continuations(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return each.groupBy(id_col, "table_no", "record").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_no", "cell"))), lambda x: x["cell"]).alias("cells"))
 
 
+def _lot_parts(text: Column) -> Column:
+    """The text from each `Lotto n`, wherever it stands, to the next one, as an array."""
+    return F.filter(F.split(text, r"(?i)(?=\bLotto\s+\d+\b)"), lambda x: x.rlike(r"(?i)^Lotto\s+\d+\b"))
+
+
+def _lot_number(segment: Column) -> Column:
+    return F.regexp_extract(segment, r"(?i)^Lotto\s+(\d+)", 1).cast("int")
+
+
 def lot_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = 2000) -> DataFrame:
     """The text from each `Lotto n`, wherever it stands, to the next one."""
-    parts = F.filter(F.split(F.col(text_col), r"(?i)(?=\bLotto\s+\d+\b)"), lambda x: x.rlike(r"(?i)^Lotto\s+\d+\b"))
-    out = docs.select(id_col, F.explode(parts).alias("segment"))
-    return out.select(id_col, F.regexp_extract("segment", r"(?i)^Lotto\s+(\d+)", 1).cast("int").alias("lot"), F.substring("segment", 1, cap).alias("segment"))
+    out = docs.select(id_col, F.explode(_lot_parts(F.col(text_col))).alias("segment"))
+    return out.select(id_col, _lot_number(F.col("segment")).alias("lot"), F.substring("segment", 1, cap).alias("segment"))
+
+
+def lot_records(text: Column, fields: dict, cap: int = 2000) -> Column:
+    """lot_segments() of one text as a sorted array of structs: lot, then fields(segment) by name."""
+    each = lambda x: F.struct(_lot_number(x).alias("lot"), *[f(F.substring(x, 1, cap)).alias(k) for k, f in fields.items()])
+    return F.array_sort(F.transform(_lot_parts(text), each))
 
 
 def markdown_table(headers: list[str], rows: Column) -> Column:

@@ -72,11 +72,13 @@ def page_of_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paged.groupBy("field", "page_num").agg(F.count("*").alias("n"))
 
 
+#: Fields of a lot's segment.
+_LOT = {"cig": lambda x: S.first_match(x, [r"CIG[\s:]*([A-Z0-9]{10})\b"]), "amount": lambda x: S.parse_amount(S.first_match(x, [r"importo\s+lotto[\s ]*€[\s ]*([\d.,]+)"]))}
+
+
 def lot_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = structure.lot_segments(render_tenders(spark, sf_dir))
-    cig = S.first_match("segment", [r"CIG[\s:]*([A-Z0-9]{10})\b"])
-    amount = S.parse_amount(S.first_match("segment", [r"importo\s+lotto[\s ]*€[\s ]*([\d.,]+)"]))
-    return segments.select("doc_id", "lot", cig.alias("cig"), amount.alias("amount"))
+    return segments.select("doc_id", "lot", *[f(F.col("segment")).alias(k) for k, f in _LOT.items()])
 
 
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,17 +104,22 @@ def coherence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record.coherence(rules.wide(docs), segments.select("doc_id", amount.alias("amount")))
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of tenders: each text is rendered once, its lots are read where its fields are."""
+    docs = render_tenders(spark, sf_dir)
+    fields = [rules.extracted(F.col("text"), r).alias(r.field) for r in rules.BUILTIN]
+    return record.build_rows(docs.select("doc_id", *fields, structure.lot_records(F.col("text"), _LOT).alias("lotti")))
+
+
 def build_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scalar leaves of the nested record."""
-    docs = render_tenders(spark, sf_dir)
-    nested = record.build(rules.wide(docs), lot_amounts(spark, sf_dir))
+    nested = _records(spark, sf_dir)
     return nested.select("doc_id", F.col("record.identificativi.cig").alias("cig"), F.col("record.importi.totale").alias("total"), F.size("record.lotti").alias("n_lots"), F.element_at("record.cig_lotti", "lotto_1").alias("cig_lot_1"), "confidence", "score")
 
 
 def flatten_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record as (path, documents with a value)."""
-    docs = render_tenders(spark, sf_dir)
-    return record.flatten(record.build(rules.wide(docs), lot_amounts(spark, sf_dir))).groupBy("path").agg(F.count("*").alias("n"))
+    return record.flatten(_records(spark, sf_dir)).groupBy("path").agg(F.count("*").alias("n"))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

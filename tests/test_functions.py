@@ -263,3 +263,11 @@ def test_ranked_by_hash_ranks_no_whole_group_in_one_window(spark):
     plan = plan_of(learning.ranked_by_hash(df, "y", "doc_id", "rank"))[1]
     assert "row_number() windowspecdefinition(y" in plan and "row_number() windowspecdefinition(y#" in plan and plan.count("__slice") > 0
     assert all("__slice" in line.split("ROWS")[0] or "row_number" not in line for line in plan.splitlines())
+
+
+def test_records_render_texts_once(spark, sf_dir):
+    from docloom.plans import tenders
+
+    for name in ("build_record", "flatten_record"):
+        plan = tenders.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("DISCIPLINARE DI GARA") == 1
